@@ -32,12 +32,12 @@ def type_names(mask) -> Column:
 
 
 def last_segment(ref) -> Column:
-    return F.element_at(F.split(ref, "/"), -1)
+    return F.try_element_at(F.split(ref, "/"), F.lit(-1))
 
 
 def star_items(path) -> Column:
     """Second path dialect: no root, ``*`` for a list position."""
-    body = F.when(F.element_at(path, 1) == ROOT, F.slice(path, 2, F.size(path))).otherwise(path)
+    body = F.when(F.try_element_at(path, F.lit(1)) == ROOT, F.slice(path, 2, F.size(path))).otherwise(path)
     return F.transform(body, lambda k: F.when(k == ARRAY_ITEM, F.lit("*")).otherwise(k))
 
 

@@ -25,23 +25,26 @@ MAX_SUBSTITUTIONS = 9
 
 
 def schema_nodes(schemas: DataFrame) -> DataFrame:
-    """(dataset, ptr, in_list, type, value, n_children): every value of every schema."""
+    """(dataset, ptr, in_list, type, value, n_children): every value of every schema.
+
+    Written once: the analyses read this table many times.
+    """
     configure(schemas.sparkSession)
     nodes = schemas.select("dataset", "schema").mapInArrow(
         json_walk.explode_values(1, False), json_walk.VALUE_SCHEMA.format(carry="dataset string")
     )
-    return nodes.withColumnRenamed("path", "ptr")
+    return cut_lineage(nodes.withColumnRenamed("path", "ptr"))
 
 
 def local_refs(nodes: DataFrame) -> DataFrame:
     """Reference members: (dataset, ptr, in_list, ref), ``ptr`` being the referring object."""
     size = F.size("ptr")
     return nodes.where(
-        (F.element_at("ptr", -1) == "$ref") & ~F.element_at("in_list", -1) & (F.col("type") == "string")
+        (F.try_element_at("ptr", F.lit(-1)) == "$ref") & ~F.try_element_at("in_list", F.lit(-1)) & (F.col("type") == "string")
     ).select(
         "dataset",
-        F.slice("ptr", 1, size - 1).alias("ptr"),
-        F.slice("in_list", 1, size - 1).alias("in_list"),
+        F.slice("ptr", 1, F.greatest(size - 1, F.lit(0))).alias("ptr"),
+        F.slice("in_list", 1, F.greatest(size - 1, F.lit(0))).alias("in_list"),
         F.col("value").alias("ref"),
     )
 
@@ -124,7 +127,7 @@ def expand_nested(references: DataFrame) -> DataFrame:
     to one never referenced, is gone.
     """
     path = F.col("path")
-    nested = (F.size(path) >= 3) & F.element_at(path, 2).isin(*DEFINITION_KEYWORDS)
+    nested = (F.size(path) >= 3) & F.try_element_at(path, F.lit(2)).isin(*DEFINITION_KEYWORDS)
     heads = cut_lineage(
         references.select(
             "dataset",
@@ -161,9 +164,9 @@ def children(nodes: DataFrame) -> DataFrame:
     """Nodes below another one, with parent pointer and own key."""
     return nodes.where(F.size("ptr") > 0).select(
         "dataset",
-        F.slice("ptr", 1, F.size("ptr") - 1).alias("parent"),
-        F.element_at("ptr", -1).alias("key"),
-        F.element_at("in_list", -1).alias("position"),
+        F.slice("ptr", 1, F.greatest(F.size("ptr") - 1, F.lit(0))).alias("parent"),
+        F.try_element_at("ptr", F.lit(-1)).alias("key"),
+        F.try_element_at("in_list", F.lit(-1)).alias("position"),
         "ptr",
         "type",
         "value",
@@ -173,8 +176,8 @@ def children(nodes: DataFrame) -> DataFrame:
 
 def definition_roots(nodes: DataFrame) -> DataFrame:
     """(dataset, keyword): ``$defs`` when it holds something, else ``definitions``."""
-    roots = nodes.where((F.size("ptr") == 1) & F.element_at("ptr", 1).isin(*DEFINITION_KEYWORDS))
-    filled = (F.element_at("ptr", 1) == "$defs") & (F.col("n_children") > 0)
+    roots = nodes.where((F.size("ptr") == 1) & F.try_element_at("ptr", F.lit(1)).isin(*DEFINITION_KEYWORDS))
+    filled = (F.try_element_at("ptr", F.lit(1)) == "$defs") & (F.col("n_children") > 0)
     return roots.groupBy("dataset").agg(
         F.when(F.max(filled), F.lit("$defs")).otherwise(F.lit("definitions")).alias("keyword")
     )
@@ -206,9 +209,9 @@ def object_like_definitions(nodes: DataFrame) -> DataFrame:
         .join(roots, "dataset")
         .select("dataset", F.array("keyword", last_segment("ref")).alias("child"), "ptr")
     )
-    grand = F.element_at(F.col("parent"), -1)
+    grand = F.try_element_at(F.col("parent"), F.lit(-1))
     branch = F.when(
-        F.col("position"), F.struct(grand.alias("word"), F.slice("parent", 1, F.size("parent") - 1).alias("ptr"))
+        F.col("position"), F.struct(grand.alias("word"), F.slice("parent", 1, F.greatest(F.size("parent") - 1, F.lit(0))).alias("ptr"))
     ).otherwise(F.struct(F.col("key").alias("word"), F.col("parent").alias("ptr")))
     by_branch = (
         below.where("type = 'object' and size(parent) > 0")
@@ -232,15 +235,15 @@ def object_like_definitions(nodes: DataFrame) -> DataFrame:
     return (
         reached.where("size(ptr) = 2")
         .join(roots, "dataset")
-        .where(F.element_at("ptr", 1) == F.col("keyword"))
-        .select("dataset", F.element_at("ptr", 2).alias("name"))
+        .where(F.try_element_at("ptr", F.lit(1)) == F.col("keyword"))
+        .select("dataset", F.try_element_at("ptr", F.lit(2)).alias("name"))
     )
 
 
 def object_references(references: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References to object-like definitions, and the (dataset, path) of all the others."""
-    names = object_like_definitions(nodes)
-    named = references.withColumn("name", last_segment("ref"))
+    names = cut_lineage(object_like_definitions(nodes))
+    named = cut_lineage(references.withColumn("name", last_segment("ref")))
     kept = named.join(names, ["dataset", "name"], "left_semi").drop("name")
     dropped = named.join(names, ["dataset", "name"], "left_anti").select("dataset", "path").distinct()
     return kept, dropped
