@@ -1,0 +1 @@
+"""Whole jobs built from the operators."""
