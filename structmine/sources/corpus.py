@@ -28,11 +28,16 @@ FILES_PER_DATASET_BYTES = 256 * 1024 * 1024
 
 
 def read_schemas(spark: SparkSession, folder: str) -> DataFrame:
-    """(dataset, schema) of every file in a folder; a dataset is named after its file."""
+    """(dataset, schema) of every file in a folder; a dataset is named after its file.
+
+    Text scans pass over files without content, so the names come from the listing.
+    """
     configure(spark)
-    return spark.read.text(folder, wholetext=True).select(
+    texts = spark.read.text(folder, wholetext=True).select(
         F.col("_metadata.file_name").alias("dataset"), F.col("value").alias("schema")
     )
+    named = file_listing(spark, folder).select("dataset").join(texts, "dataset", "left")
+    return named.select("dataset", F.coalesce("schema", F.lit("")).alias("schema"))
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,12 +47,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(dataset, length) of the files in a folder, without reading them."""
-    return (
-        spark.read.format("binaryFile")
-        .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("dataset"), "length")
-    )
+    """(dataset, length) of the files in a folder, empty ones too: names and sizes only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(f.getPath().getName(), f.getLen()) for f in system.listStatus(path) if f.isFile()]
+    return spark.createDataFrame(found, "dataset string, length long")
 
 
 def is_json(text) -> Column:
