@@ -211,11 +211,10 @@ def dereference_status(spark, folder):
 
 def matched_paths(spark, folder):
     def make():
-        nodes, lines = _nodes(spark, folder), _lines(spark, folder)
-        kept, dropped = schema_graph.object_references(_expanded(spark, folder), nodes)
+        kept, dropped = schema_graph.object_references(_expanded(spark, folder), _nodes(spark, folder))
         kept = cut_lineage(kept)
-        known = lines.join(kept.select("dataset").distinct(), "dataset", "left_semi")
-        found = profile.path_profile(documents.path_counts(known, _loaded(spark, folder)))
+        known = _loaded(spark, folder).join(kept.select("dataset").distinct(), "dataset", "left_semi")
+        found = profile.path_profile(documents.path_counts(_lines(spark, folder), known))
         return matching.match_paths(kept, profile.frequent_paths(profile.path_totals(found), dropped))
 
     return _shown(_once(spark, folder, "matched", make), "path")

@@ -65,26 +65,38 @@ class PathCounts:
     def __init__(self):
         self.roots, self.nodes = {}, 0
 
+    def entry(self, members, key):
+        """[count, type mask, members below] of a key, made when first met."""
+        found = members.get(key)
+        if found is None:
+            found = members[key] = [0, 0, {}]
+            self.nodes += 1
+        return found
+
     def add(self, dataset, document):
-        root = self.roots.get(dataset)
-        if root is None:
-            root = self.roots[dataset] = [0, 0, {}]
+        bits = TYPE_BITS
+        root = self.entry(self.roots, dataset)
         root[0] += 1
-        root[1] |= TYPE_BITS[type(document)]
+        root[1] |= bits[type(document)]
         stack = [(root[2], document)]
         while stack:
             members, value = stack.pop()
-            pairs = value.items() if type(value) is dict else ((ARRAY_ITEM, x) for x in value)
-            for key, child in pairs:
-                entry = members.get(key)
-                if entry is None:
-                    entry = members[key] = [0, 0, {}]
-                    self.nodes += 1
-                kind = type(child)
-                entry[0] += 1
-                entry[1] |= TYPE_BITS[kind]
-                if kind is dict or kind is list:
-                    stack.append((entry[2], child))
+            if type(value) is dict:
+                for key, child in value.items():
+                    entry = members.get(key) or self.entry(members, key)
+                    kind = type(child)
+                    entry[0] += 1
+                    entry[1] |= bits[kind]
+                    if kind is dict or kind is list:
+                        stack.append((entry[2], child))
+            elif value:
+                entry = self.entry(members, ARRAY_ITEM)
+                entry[0] += len(value)
+                for child in value:
+                    kind = type(child)
+                    entry[1] |= bits[kind]
+                    if kind is dict or kind is list:
+                        stack.append((entry[2], child))
 
     def drain(self, root):
         """All counts so far as one batch; the documents themselves are member ``root`` of []."""

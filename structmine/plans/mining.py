@@ -49,8 +49,9 @@ def mine(lines: DataFrame, schemas: DataFrame, keep_pattern: bool = False) -> Mi
     objects, not_objects = schema_graph.object_references(expanded, nodes)
     objects = cut_lineage(objects)
 
-    with_objects = objects.select("dataset").distinct()
-    counts = documents.path_counts(lines.join(with_objects, "dataset", "left_semi"), loaded)
+    # datasets without objects leave through the schema side: the lines are joined once
+    with_objects = loaded.join(objects.select("dataset").distinct(), "dataset", "left_semi")
+    counts = documents.path_counts(lines, with_objects)
     profiled = cut_lineage(profile.path_profile(counts))
     totals = profile.path_totals(profiled)
     frequent = cut_lineage(profile.frequent_paths(totals, not_objects))
