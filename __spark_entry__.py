@@ -361,8 +361,8 @@ def group_split(spark, folder):
         F.count_distinct("split").alias("sides"),
         F.max((F.col("split") == "train").cast("long")).alias("train"),
     )
-    total = sides.agg(F.sum("train").alias("train_groups"))
-    return sides.crossJoin(F.broadcast(total)).drop("train")
+    total = sides.agg(F.sum("train").alias("train_groups")).first()["train_groups"]
+    return sides.drop("train").withColumn("train_groups", F.lit(total))
 
 
 def _turns(spark, folder):

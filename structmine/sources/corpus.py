@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structmine.operators.documents import documents
@@ -112,20 +112,17 @@ def funnel(statuses: DataFrame, stages=PROCESSING_STATUSES) -> DataFrame:
     counts = statuses.groupBy(
         F.when(F.col("status").isin(*known), F.col("status")).otherwise("error").alias("stage")
     ).agg(F.count(F.lit(1)).alias("n"))
-    listed = spark.createDataFrame([(i, s) for i, s in enumerate([*stages, "error"], 1)], "position int, stage string")
-    total = counts.agg(F.sum("n").alias("total"))
-    failed = (
-        listed.join(counts, "stage", "left")
-        .crossJoin(total)
-        .select("position", "stage", F.coalesce("n", F.lit(0)).alias("failed"), F.coalesce("total", F.lit(0)).alias("total"))
+    listed = spark.createDataFrame(
+        [(i, s) for i, s in enumerate([*stages, "error", "ok"], 1)], "position int, stage string"
     )
-    # the stages are a fixed short list, so this self join stays tiny
-    earlier = failed.select(F.col("position").alias("p"), F.col("failed").alias("f"))
+    # from here on one row per stage, a fixed handful, so the unpartitioned windows stay tiny
+    failed = listed.join(counts, "stage", "left").withColumn("failed", F.coalesce("n", F.lit(0)))
+    total = F.sum("failed").over(Window.partitionBy(F.lit(0)))
+    gone = F.sum("failed").over(Window.partitionBy(F.lit(0)).orderBy("position"))
     return (
-        failed.join(earlier, F.col("p") <= F.col("position"))
-        .groupBy("position", "stage", "failed", "total")
-        .agg(F.sum("f").alias("gone"))
-        .select("position", "stage", "failed", (F.col("total") - F.col("gone")).alias("remaining"))
+        failed.withColumn("remaining", total - gone)
+        .where("stage <> 'ok'")
+        .select("position", "stage", "failed", "remaining")
     )
 
 

@@ -3,7 +3,7 @@
 import pytest
 from conftest import A, path, rows
 
-from structmine.operators import clusters, definition_walk, documents, matching, profile, recursion, schema_graph
+from structmine.operators import classify, clusters, definition_walk, documents, matching, profile, recursion, schema_graph
 from structmine.plans import mining
 
 ORDER_SCHEMA = """{"$schema":"https://json-schema.org/draft/2020-12/schema","type":"object",
@@ -89,12 +89,13 @@ def test_evaluation(orders):
     assert rows(result.average, "average_precision") == {(1.0,)}
 
 
-def test_training_and_classifier(orders):
+def test_training_and_classifier(orders, tmp_path):
     mined = orders[2]
     data = mining.training_data(mined)
     labels = sorted(r["label"] for r in data.pairs.collect())
     assert labels == [0] * 6 + [1] * 6
-    result = mining.evaluate(mined, mining.train(mined, data), data.records)
+    classify.save_classifier(mining.train(mined, data), str(tmp_path / "model"))
+    result = mining.evaluate(mined, classify.load_classifier(str(tmp_path / "model")), data.records)
     assert result.clusters.count() == 4
 
 
