@@ -280,7 +280,8 @@ def pair_averages(spark, folder):
 
 
 def found_clusters(spark, folder):
-    return _shown(clusters.connected_components(_evaluated(spark, folder).candidates), "cluster_id", "path")
+    links = candidates.candidate_links(_mined(spark, folder).properties)
+    return _shown(clusters.connected_components(links), "cluster_id", "path")
 
 
 def cluster_pair_counts(spark, folder):

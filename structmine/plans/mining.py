@@ -126,15 +126,20 @@ def evaluate(
 ) -> Evaluation:
     """Candidate pairs, clusters of the accepted ones, and their scores against the truth.
 
-    Without ``model`` every candidate is accepted.
+    Without ``model`` every candidate is accepted; clusters then come from links between key sets,
+    and the pairs are only listed when ``candidates`` is read.
     """
-    pairs = cut_lineage(candidates.candidate_pairs(mined.properties, jaccard_threshold, min_common))
-    accepted = pairs
+    pairs = candidates.candidate_pairs(mined.properties, jaccard_threshold, min_common)
+    if model is None and min_common > 0:
+        links = candidates.candidate_links(mined.properties, jaccard_threshold, min_common)
+        accepted = evaluated = cut_lineage(links)
+    else:
+        accepted = evaluated = pairs = cut_lineage(pairs)
     if model is not None:
         if records is None:
             records = training_data(mined).records
         scored = classify.score_pairs(model, classify.pair_features(pairs, records, mined.properties))
         accepted = cut_lineage(clusters.predicted_edges(scored))
     found = cut_lineage(clusters.connected_components(accepted))
-    scores = cut_lineage(clusters.cluster_scores(mined.truth, found, pairs))
+    scores = cut_lineage(clusters.cluster_scores(mined.truth, found, evaluated))
     return Evaluation(pairs, found, scores, clusters.corpus_average(scores))
