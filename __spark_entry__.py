@@ -411,14 +411,28 @@ QUERIES = (
 )
 
 
+def _training_data() -> tuple[dict[str, Callable], dict[str, str]]:
+    """Queries and SQL of the ``llm`` package and the pipeline over it, where they are there."""
+    try:
+        import corpus_pipeline
+        from structmine.llm import queries as more
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith(("corpus_pipeline", "structmine.llm")):
+            raise
+        return {}, {}
+    found = {q.__name__: q for q in more.QUERIES} | {"pipeline": corpus_pipeline.run}
+    said = more.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found, said
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Which object shapes occur in the corpus, how often, with which keys and types."""
     return path_profile(spark, SMALLEST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES} | {"clusters": found_clusters}
+    return {q.__name__: q for q in QUERIES} | {"clusters": found_clusters} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return oracle.sql() | _training_data()[1]
