@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from structmine.llm import quality_classifier, toxicity
+from structmine.llm import quality_classifier, quality_rules, toxicity
 from structmine.llm.shared import table
 
 
@@ -19,5 +20,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_quality_classifier, op9_toxicity)
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    failed = quality_rules.base_failed()
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "votes", "p_good",
+    )
+
+
+QUERIES = (op1_quality_classifier, op9_toxicity, op10_quality_rules)
 SQL: dict[str, str] = {}
