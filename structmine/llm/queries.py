@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structmine.llm import quality_classifier, quality_rules, toxicity
-from structmine.llm.shared import table
+from structmine.llm import packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
+from structmine.llm.shared import new_folder, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +29,45 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_quality_classifier, op9_toxicity, op10_quality_rules)
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_store.digests(token_store.read(spark, folder))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, _tokenizer("byte_bpe_50k.json"), end_id=0))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    warc_source.write(warc_source.dedupe(table(spark, sf_dir, "pages")), folder)
+    page = warc_source.page_of(F.col("record_id")).alias("page_id")
+    responses = warc_source.read(spark, folder, ["record_id", "record_type", "payload"])
+    revisits = warc_source.read(
+        spark, folder, ["record_id", "record_type", "payload_digest", "refers_to", "payload_length"]
+    )
+    return (
+        responses.where("record_type = 'response'")
+        .select(
+            page, F.octet_length("payload").cast("long").alias("payload_bytes"),
+            F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"),
+        )
+        .unionByName(
+            revisits.where("record_type = 'revisit'").select(
+                page, F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+                warc_source.page_of(F.col("refers_to")).alias("refers_to"),
+            )
+        )
+    )
+
+
+QUERIES = (op1_quality_classifier, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
 SQL: dict[str, str] = {}

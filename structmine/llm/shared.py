@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from structmine.session import configure
+
 #: Bytes of text a task of a shuffle is meant to hold.
 TASK_BYTES = 16 * 1024 * 1024
 
@@ -29,7 +31,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
