@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structmine.llm import packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
+from structmine.llm import decontaminate, packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
 from structmine.llm.shared import new_folder, table
 
 
@@ -29,6 +29,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -69,5 +73,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_quality_classifier, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
+QUERIES = (op1_quality_classifier, op2_decontaminate, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
 SQL: dict[str, str] = {}
