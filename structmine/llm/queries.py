@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structmine.llm import decontaminate, packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
+from structmine.llm import decontaminate, near_dedup, packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
 from structmine.llm.shared import new_folder, table
 
 
@@ -33,6 +33,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -73,5 +77,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_quality_classifier, op2_decontaminate, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
+QUERIES = (op1_quality_classifier, op2_decontaminate, op3_near_dedup, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
 SQL: dict[str, str] = {}
