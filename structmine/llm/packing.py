@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from structmine.llm import spans
 from structmine.llm.shared import kept, texts_of
-from structmine.llm.token_ids import encoder
+from structmine.llm.token_ids import encoder, with_end
 
 CAPACITY = 2048
 ROWS_PER_TASK = 500_000
@@ -41,15 +41,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     """``doc_id, piece, start, length, ids_crc32`` of the pieces of every whole text with ``end_id`` appended."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, coder = np.uint32(end_id).tobytes(), encoder(tokenizer)
+        coder = encoder(tokenizer)
         for batch in spans.slices(batches, "text"):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
-                ids += end
-                n = len(ids) // 4
+            ids, ends = with_end(*coder.encode(spans.texts(batch.column("text"))), end_id)
+            raw, rows = memoryview(ids.astype("<u4")).cast("B"), []
+            for doc, first, n in zip(batch.column("doc_id").to_pylist(), ends.tolist(), np.diff(ends).tolist()):
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                    rows.append((doc, i, a, b - a, zlib.crc32(raw[4 * (first + a) : 4 * (first + b)])))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"]

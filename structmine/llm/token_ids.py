@@ -1,23 +1,66 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-The library's pre-tokenizer never lets a token reach over a space that follows a character other than
-white space, so the parts of a text between such spaces are encoded apart, and each distinct part is
-encoded once per worker and kept as bytes.  A text that holds a special token's string is encoded as a
-whole.  Ids are little-endian unsigned 32-bit integers, joined.
+The pre-tokenizer of these files cuts texts into runs of letters, of digits and of other characters, each
+with at most one space before it, and white space; tokens never reach over its cuts.  Some of the cuts
+show from the bytes alone: before a space or line feed that follows a character other than white space,
+behind a line feed between two such characters, and between an ASCII letter and a mark such as a comma.
+Texts are cut there, each distinct part of a slice is looked up once, and each distinct part a worker
+meets is encoded once by the library.  A text that holds a special token's string is encoded as a whole.
+
+Parts of a slice are told apart by a 64-bit hash and their length.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
+from structmine.llm import spans
+
 #: Distinct parts a worker keeps; beyond it the memory is emptied (results don't depend on it).
 MEMORY = 800_000
 TOGETHER = 256
 
-_CUT = re.compile(r" (?<=\S )")
+_BLANK = ~spans.NOT_SPACE
+_BLANK[[28, 29, 30, 31]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+#: White space beyond ASCII, as UTF-8.
+_WIDE_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def parts(found: spans.Texts) -> spans.Spans:
+    """Parts of texts that can be encoded apart, in order; an empty text has none."""
+    data = found.data
+    blank = _BLANK[data]
+    if (data >= 0x80).any():
+        raw = data.tobytes()
+        for character in _WIDE_BLANKS:
+            at = raw.find(character)
+            while at >= 0:
+                blank[at : at + len(character)] = True
+                at = raw.find(character, at + 1)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = ~blank[:-1] & ((data[1:] == 32) | (data[1:] == 10))
+    cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+    cut[2:] |= ~blank[:-2] & (data[1:-1] == 10) & ~blank[2:]
+    filled = found.offsets[:-1][found.offsets[:-1] < found.offsets[1:]]
+    # places at a text's start looked at the text before
+    for near in (1, 0):
+        at = filled + near
+        at = at[at < len(data)]
+        cut[at] = near == 0 if near == 0 else _second(data, blank, at)
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], len(data)) if len(start) else start
+    return spans.Spans(start, end, np.searchsorted(found.offsets, start, side="right") - 1)
+
+
+def _second(data: np.ndarray, blank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether to cut before a text's second byte: the rules that look one byte back."""
+    return (~blank[at - 1] & ((data[at] == 32) | (data[at] == 10))) | (_LETTER[data[at - 1]] & _MARK[data[at]])
 
 
 class Encoder:
@@ -28,52 +71,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        added = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._special = re.compile("|".join(map(re.escape, added))) if added else None
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without special tokens added."""
-        parts = [[] if self._special and self._special.search(t) else _CUT.split(t) for t in texts]
-        first = {p[0] for p in parts if p}
-        later = set().union(*(p[1:] for p in parts))
-        self._learn(self._first, first, "")
-        self._learn(self._later, later, " ")
-        get, out = self._later.__getitem__, []
-        for text, cut in zip(texts, parts):
-            if not cut:
-                out.append(self._whole([text])[0])
-                continue
-            out.append(self._first[cut[0]] + b"".join(map(get, cut[1:])))
-        return out
-
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        missing = [p for p in parts if p not in known]
-        if len(known) + len(missing) > MEMORY:
-            known.clear()
-            missing = list(parts)
-        alone = missing if not before else [p for p in missing if not p or p[-1].isspace()]
-        known.update(zip(alone, self._whole([before + p for p in alone])))
-        if before:
-            self._joined(known, [p for p in missing if p and not p[-1].isspace()])
-
-    def _joined(self, known: dict[str, bytes], parts: list[str]) -> None:
-        """Encodes parts that a space separates a few hundred at a time and tells their ids apart by offsets."""
-        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
-        for group, found in zip(groups, self._library.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            starts = np.cumsum([0] + [len(p) + 1 for p in group])
-            at = np.array(found.offsets, np.int64)[:, 0]
-            ends = (np.searchsorted(at, starts) * 4).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            for part, a, b in zip(group, ends, ends[1:]):
-                known[part] = ids[a:b]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        found = self._library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self._special = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
+        self._known: dict[bytes, np.ndarray] = {}
+        self._break = self._library.encode("\n", add_special_tokens=False).ids
+
+    def encode(self, found: spans.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and where each text's ids begin and end (one more than texts)."""
+        raw = found.data.tobytes()
+        if any(s in raw for s in self._special):
+            return self._one_by_one(found, raw)
+        cut = parts(found)
+        _, first, which = np.unique(spans.Hasher(found.data).of(cut.start, cut.end), return_index=True, return_inverse=True)
+        size = cut.end - cut.start
+        if (size != size[first][which]).any():
+            return self._one_by_one(found, raw)
+        keys = [raw[a:b] for a, b in zip(cut.start[first].tolist(), cut.end[first].tolist())]
+        self._learn(keys)
+        ids = [self._known[k] for k in keys]
+        n = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        before = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+        lengths = n[which]
+        ends = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        out = flat[np.arange(ends[-1]) + np.repeat(before[which] - ends[:-1], lengths)]
+        return out, ends[np.searchsorted(cut.row, np.arange(found.rows + 1))]
+
+    def _one_by_one(self, found: spans.Texts, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        at = found.offsets.tolist()
+        ids = self._whole([raw[a:b].decode() for a, b in zip(at, at[1:])])
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0] + [len(x) for x in ids])
+
+    def _learn(self, keys: list[bytes]) -> None:
+        missing = [k for k in keys if k not in self._known]
+        if len(self._known) + len(missing) > MEMORY:
+            self._known.clear()
+            missing = keys
+        joined, alone = [], []
+        for key in missing:
+            text = key.decode()
+            plain = text[1:] if text[0] == " " else text
+            (alone if not plain or plain[0].isspace() or plain[-1].isspace() or "\n" in plain else joined).append((key, text))
+        for i in range(0, len(joined), TOGETHER):
+            self._together(joined[i : i + TOGETHER])
+        self._known.update(zip((k for k, _ in alone), self._whole([t for _, t in alone])))
+
+    def _together(self, group: list[tuple[bytes, str]]) -> None:
+        """Encodes parts as lines of one text; a line feed is a token of its own there."""
+        ids = self._whole(["\n".join(t for _, t in group)])[0]
+        breaks = np.flatnonzero(ids == self._break[0]) if len(self._break) == 1 else []
+        if len(breaks) == len(group) - 1:
+            found = [ids[a:b] for a, b in zip([0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)])]
+        else:
+            found = self._whole([t for _, t in group])
+        self._known.update(zip((k for k, _ in group), found))
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, np.uint32) for e in found]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -83,3 +138,14 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` behind every text's ids."""
+    rows = len(ends) - 1
+    out = np.full(len(ids) + rows, end_id, np.uint32)
+    keep = np.ones(len(out), bool)
+    later = ends + np.arange(rows + 1)
+    keep[later[1:] - 1] = False
+    out[keep] = ids
+    return out, later

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from structmine.llm import spans
 from structmine.llm.shared import tasks_for, texts_of
-from structmine.llm.token_ids import encoder
+from structmine.llm.token_ids import encoder, with_end
 
 SHARD_BYTES = 32 * 1024 * 1024
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, tokens array<int>"
 
 LAYOUT = {
+    "compression": "zstd",
     "parquet.writer.version": "v2",
     "parquet.block.size": str(32 * 1024 * 1024),
     "parquet.page.size": str(256 * 1024),
@@ -44,17 +45,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes
     """Encodes every whole text, appends ``end_id`` and writes the ids in ascending ``doc_id`` order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start, end = TaskContext.get().partitionId(), 0, np.uint32(end_id).tobytes()
-        coder = encoder(tokenizer)
+        shard, start, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in spans.slices(batches, "text"):
-            ids = [x + end for x in coder.encode(batch.column("text").to_pylist())]
-            ends = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            ids, ends = with_end(*coder.encode(spans.texts(batch.column("text"))), end_id)
+            values = pa.array(ids.view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
-                    pa.array(np.full(len(ids), shard, np.int32)),
+                    pa.array(np.full(batch.num_rows, shard, np.int32)),
                     pa.array(ends[:-1] + start),
                     pa.array(np.diff(ends).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values),
