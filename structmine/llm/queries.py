@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structmine.llm import decontaminate, near_dedup, packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
+from structmine.llm import decontaminate, lattice_lm, near_dedup, packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
 from structmine.llm.shared import new_folder, table
 
 
@@ -43,6 +43,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"), end_id=2)
@@ -77,5 +81,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_quality_classifier, op2_decontaminate, op3_near_dedup, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
+QUERIES = (op1_quality_classifier, op2_decontaminate, op3_near_dedup, op4_lattice_lm, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
 SQL: dict[str, str] = {}
