@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from structmine.llm import decontaminate, lattice_lm, near_dedup, packing, quality_classifier, quality_rules, token_store, toxicity, warc_source
+from structmine.llm import (
+    decontaminate,
+    lattice_lm,
+    licence_scan,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_store,
+    toxicity,
+    warc_source,
+)
 from structmine.llm.shared import new_folder, table
 
 
@@ -58,6 +69,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, _tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "archives")
     warc_source.write(warc_source.dedupe(table(spark, sf_dir, "pages")), folder)
@@ -81,5 +96,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_quality_classifier, op2_decontaminate, op3_near_dedup, op4_lattice_lm, op5_token_store, op6_packing, op8_warc, op9_toxicity, op10_quality_rules)
-SQL: dict[str, str] = {}
+QUERIES = (
+    op1_quality_classifier, op2_decontaminate, op3_near_dedup, op4_lattice_lm, op5_token_store,
+    op6_packing, op7_licence_scan, op8_warc, op9_toxicity, op10_quality_rules,
+)
+
+#: What SQL can express of the above: roles of records need no archive to be told.
+SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS bytes FROM pages),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, bytes AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+        FROM r
+    """,
+}
