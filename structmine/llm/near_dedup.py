@@ -45,7 +45,7 @@ TAKEN = 5
 #: Groups up to this size are compared pair by pair.
 SMALL = 12
 #: Labelled k-mers in a block of documents outside their family's largest class, and of all of a family.
-BLOCK_KMERS = (1 << 18, 1 << 20)
+BLOCK_KMERS = (1 << 17, 1 << 18)
 #: A larger group is split by so many of the following sketches.
 SPLITS = 5
 #: A pair lies within the band where its places differ by less than this share of the longer document.
@@ -154,9 +154,9 @@ def sketched(docs: DataFrame) -> DataFrame:
     return wanted.mapInArrow(sketch, f"doc_id {kind}, text_key string, n_kmers long, sketches array<bigint>")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, doc, n, ...) of keys that two documents or more have, with the group's ``size``."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+def _groups(rows: DataFrame, *more: Column) -> DataFrame:
+    """``rows`` (key, ...) of keys that two documents or more have, with the group's ``size``."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *more).where("size > 1")
     return rows.join(sizes, "key")
 
 
@@ -187,21 +187,20 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = kept(_groups(narrow), "sketch-groups")
     small = _pairs(groups.where(F.col("size") <= SMALL)).where(_comparable()).select(*_ends())
 
-    large = groups.where(F.col("size") > SMALL).select("key", "doc", "n", "place")
-    following = F.explode(F.array(*[F.lit(i + 1) for i in range(SPLITS)])).alias("step")
-    split = large.join(texts.select("doc", "sketches"), "doc").select("key", "doc", "n", "sketches", "place", following)
-    other = (F.col("place") + F.col("step")) % SKETCHES
-    split = split.select(
-        F.xxhash64("key", "step", F.element_at("sketches", other + 1)).alias("key"), "doc", "n"
+    # a document's large groups side by side: at most one a sketch
+    own = F.collect_list(F.struct("place", "key")).alias("own")
+    large = groups.where(F.col("size") > SMALL).groupBy("doc").agg(own).join(texts.select("doc", "n", "sketches"), "doc")
+    following = lambda o, step: F.xxhash64(
+        o["key"], F.lit(step), F.element_at("sketches", (o["place"] + step) % SKETCHES + 1)
     )
-    parts = kept(_groups(split), "split-groups")
-    small = small.unionByName(_pairs(parts.where(F.col("size") <= SMALL)).where(_comparable()).select(*_ends()))
-
+    keys = F.flatten(F.transform("own", lambda o: F.array(*[following(o, i + 1) for i in range(SPLITS)])))
+    rank = F.struct(F.size("own").alias("groups"), F.xxhash64("doc"), "doc", "n").alias("rank")
+    split = large.select("doc", "n", rank, F.explode(keys).alias("key"))
+    # the most central document is the one in most large groups
+    parts = kept(_groups(split, F.max("rank").alias("hub")).drop("rank"), "split-groups")
+    few = parts.where(F.col("size") <= SMALL)
+    small = small.unionByName(_pairs(few).where(_comparable()).select(*_ends()))
     large = parts.where(F.col("size") > SMALL)
-    central = large.groupBy("doc").agg(F.count(F.lit(1)).alias("groups"))
-    ranked = large.join(central, "doc").select("key", "doc", "n", F.struct("groups", F.xxhash64("doc"), "doc", "n").alias("rank"))
-    hubs = ranked.groupBy("key").agg(F.max("rank").alias("hub"))
-    large = kept(ranked.drop("rank").join(hubs, "key"), "large-groups")
     a, b = F.least("doc", "hub.doc"), F.greatest("doc", "hub.doc")
     near = F.least("n", "hub.n") >= SIMILARITY * F.greatest("n", "hub.n")
     to_hub = large.where((F.col("doc") != F.col("hub.doc")) & near).select(a.alias("doc1"), b.alias("doc2"))
