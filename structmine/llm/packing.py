@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from structmine.llm import spans
 from structmine.llm.shared import kept, texts_of
-from structmine.llm.token_ids import encoder, with_end
+from structmine.llm.token_ids import AT_ONCE, encoder, with_end
 
 CAPACITY = 2048
 ROWS_PER_TASK = 500_000
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.slices(batches, "text", AT_ONCE):
             ids, ends = with_end(*coder.encode(spans.texts(batch.column("text"))), end_id)
             raw, rows = memoryview(ids.astype("<u4")).cast("B"), []
             for doc, first, n in zip(batch.column("doc_id").to_pylist(), ends.tolist(), np.diff(ends).tolist()):

@@ -156,7 +156,7 @@ BELIEF = np.array([0.4, 0.95])
 BELIEF_GOOD = 0.8
 
 
-def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 200, prior: float = 0.02) -> LabelModel:
+def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 200, prior: float = 0.2) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns, from ``BELIEF``.
 
     ``prior`` is the weight of ``BELIEF`` as a share of all documents; it keeps the classes from

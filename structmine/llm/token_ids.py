@@ -18,9 +18,11 @@ import numpy as np
 
 from structmine.llm import spans
 
-#: Distinct parts a worker keeps; beyond it the memory is emptied (results don't depend on it).
-MEMORY = 800_000
+#: Distinct parts a worker keeps; beyond it those unused for longest are forgotten (results don't depend on it).
+MEMORY = 1_000_000
 TOGETHER = 256
+#: Bytes of texts whose parts are looked up at a time.
+AT_ONCE = 4 * spans.SLICE_BYTES
 
 _BLANK = ~spans.NOT_SPACE
 _BLANK[[28, 29, 30, 31]] = True
@@ -30,6 +32,7 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 #: White space beyond ASCII, as UTF-8.
 _WIDE_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_STARTS = sorted({c[:2] for c in _WIDE_BLANKS})
 
 
 def parts(found: spans.Texts) -> spans.Spans:
@@ -38,7 +41,7 @@ def parts(found: spans.Texts) -> spans.Spans:
     blank = _BLANK[data]
     if (data >= 0x80).any():
         raw = data.tobytes()
-        for character in _WIDE_BLANKS:
+        for character in _WIDE_BLANKS if any(x in raw for x in _WIDE_STARTS) else ():
             at = raw.find(character)
             while at >= 0:
                 blank[at : at + len(character)] = True
@@ -72,7 +75,8 @@ class Encoder:
 
         self._library = Tokenizer.from_file(path)
         self._special = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
-        self._known: dict[bytes, np.ndarray] = {}
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
         self._break = self._library.encode("\n", add_special_tokens=False).ids
 
     def encode(self, found: spans.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -86,49 +90,62 @@ class Encoder:
         if (size != size[first][which]).any():
             return self._one_by_one(found, raw)
         keys = [raw[a:b] for a, b in zip(cut.start[first].tolist(), cut.end[first].tolist())]
-        self._learn(keys)
-        ids = [self._known[k] for k in keys]
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
-        before = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+        ids = self._learned(keys)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        before = np.cumsum(n) - n
         lengths = n[which]
         ends = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=ends[1:])
-        out = flat[np.arange(ends[-1]) + np.repeat(before[which] - ends[:-1], lengths)]
-        return out, ends[np.searchsorted(cut.row, np.arange(found.rows + 1))]
+        place = np.repeat(before[which] - ends[:-1], lengths)
+        place += np.arange(len(place))
+        return flat[place], ends[np.searchsorted(cut.row, np.arange(found.rows + 1))]
 
     def _one_by_one(self, found: spans.Texts, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         at = found.offsets.tolist()
         ids = self._whole([raw[a:b].decode() for a, b in zip(at, at[1:])])
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0] + [len(x) for x in ids])
 
-    def _learn(self, keys: list[bytes]) -> None:
-        missing = [k for k in keys if k not in self._known]
-        if len(self._known) + len(missing) > MEMORY:
-            self._known.clear()
-            missing = keys
+    def _learned(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of each part, from memory or the library."""
+        if len(self._known) > MEMORY // 2:
+            self._older, self._known = self._known, {}
+        found = list(map(self._known.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        older = self._older.get
+        for i in missing:
+            found[i] = self._known[keys[i]] = older(keys[i])
+        missing = [i for i in missing if found[i] is None]
+        self._learn([keys[i] for i in missing])
+        for i in missing:
+            found[i] = self._known[keys[i]]
+        return found
+
+    def _learn(self, missing: list[bytes]) -> None:
         joined, alone = [], []
         for key in missing:
             text = key.decode()
-            plain = text[1:] if text[0] == " " else text
-            (alone if not plain or plain[0].isspace() or plain[-1].isspace() or "\n" in plain else joined).append((key, text))
+            # white space inside a part, but for one space in front, needs the part alone
+            (joined if text.split() == [text[text[0] == " " :]] else alone).append((key, text))
         for i in range(0, len(joined), TOGETHER):
             self._together(joined[i : i + TOGETHER])
-        self._known.update(zip((k for k, _ in alone), self._whole([t for _, t in alone])))
+        self._known.update(zip((k for k, _ in alone), (x.tobytes() for x in self._whole([t for _, t in alone]))))
 
     def _together(self, group: list[tuple[bytes, str]]) -> None:
         """Encodes parts as lines of one text; a line feed is a token of its own there."""
         ids = self._whole(["\n".join(t for _, t in group)])[0]
         breaks = np.flatnonzero(ids == self._break[0]) if len(self._break) == 1 else []
         if len(breaks) == len(group) - 1:
-            found = [ids[a:b] for a, b in zip([0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)])]
+            raw = ids.tobytes()
+            limits = zip([0, *(4 * breaks + 4).tolist()], [*(4 * breaks).tolist(), len(raw)])
+            found = [raw[a:b] for a, b in limits]
         else:
-            found = self._whole([t for _, t in group])
+            found = [x.tobytes() for x in self._whole([t for _, t in group])]
         self._known.update(zip((k for k, _ in group), found))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.array(e.ids, np.uint32) for e in found]
+        return [np.array(e.ids, "<u4") for e in found]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from structmine.llm import spans
 from structmine.llm.shared import tasks_for, texts_of
-from structmine.llm.token_ids import encoder, with_end
+from structmine.llm.token_ids import AT_ONCE, encoder, with_end
 
 SHARD_BYTES = 32 * 1024 * 1024
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, tokens array<int>"
@@ -46,7 +46,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for batch in spans.slices(batches, "text"):
+        for batch in spans.slices(batches, "text", AT_ONCE):
             ids, ends = with_end(*coder.encode(spans.texts(batch.column("text"))), end_id)
             values = pa.array(ids.view(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -69,13 +69,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The rows as written, with ``start``: the ids of all documents before it.
 
-    The starts of the shards come from one row a shard, read without the tokens.
+    The starts of the shards come from one row a shard, read without the tokens, and are broadcast: a shard
+    holds ``SHARD_BYTES`` of text, so they are a few bytes for tens of millions.
     """
     rows = spark.read.schema(SCHEMA).parquet(folder)
     sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(starts, "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
+    return rows.join(F.broadcast(starts), "shard").withColumn("start", F.col("before") + F.col("shard_start")).drop("before")
 
 
 def digests(rows: DataFrame) -> DataFrame:
