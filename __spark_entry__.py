@@ -147,9 +147,8 @@ def document_match(spark, folder):
 
 
 def rejected_lines(spark, folder):
-    valid = corpus.is_json("line")
-    return _lines(spark, folder).groupBy("dataset").agg(
-        F.count_if(~valid).alias("rejected"), F.count(F.lit(1)).alias("total")
+    return corpus.with_kind(_lines(spark, folder), "line").groupBy("dataset").agg(
+        F.count_if(F.col("json_kind").isNull()).alias("rejected"), F.count(F.lit(1)).alias("total")
     )
 
 

@@ -10,7 +10,7 @@ Four classes of customers, by key modulo 4:
       ``definitions``; class 1 has no regions.  Second lines of an order are arrays with
       foreign items, seventh lines are not JSON.
 2     a recursive definition, as deep as the line number.
-3     no references; every fifth has no definitions either, every fifth an unreadable schema.
+3     no references, a member that is an object in every third order; every fifth has no definitions either, every fifth an unreadable schema.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ S_NATION = NATION.format(n="s_nation", r="s_region")
 ROWS = f"""
 SELECT dataset, k, o_orderkey, l_linenumber,
   CASE
-    WHEN k = 3 THEN '{{"id":' || CAST(o_orderkey AS STRING) || ',"prio":"' || o_orderpriority || '","total":' || CAST(o_totalprice AS STRING) || '}}'
+    WHEN k = 3 THEN '{{"id":' || CAST(o_orderkey AS STRING) || ',"prio":"' || o_orderpriority || '","total":' || CAST(o_totalprice AS STRING)
+      || ',"mix":' || CASE o_orderkey % 3 WHEN 0 THEN '{{"x":1}}' WHEN 1 THEN 'null' ELSE '7' END || '}}'
     WHEN k = 2 THEN '{{"id":' || CAST(o_orderkey AS STRING)
       || ',"tree":' || repeat('{{"label":"n","kid":', COALESCE(l_linenumber, 0)) || '{{"label":null}}' || repeat('}}', COALESCE(l_linenumber, 0))
       || ',"prev":{{"label":true,"kid":{{}}}}}}'

@@ -143,7 +143,7 @@ SELECTS: dict[str, str] = {
     "frequent_paths": "SELECT dataset, path, parent_frequency FROM totals_all WHERE parent_frequency > 1",
     "object_counts": """SELECT t.dataset, t.path, t.parent_frequency, CASE WHEN t.path = '$' THEN n ELSE frequency END AS objects FROM totals_all t
 JOIN (SELECT dataset, count(*) AS n FROM items GROUP BY dataset) USING (dataset) LEFT JOIN (
-SELECT i.dataset, {p} AS path, count(*) AS frequency FROM items i, json_tree(i.doc) x WHERE x.parent IS NOT NULL GROUP BY ALL) o
+SELECT i.dataset, {p} AS path, count(*) AS frequency FROM items i, json_tree(i.doc) x WHERE x.parent IS NOT NULL AND x.type = 'OBJECT' GROUP BY ALL) o
 ON o.dataset = t.dataset AND o.path = t.path""".replace("{p}", ITEM.format(p="x.fullkey")),
     "document_unnest": "SELECT dataset, CAST(json_extract(doc, '$.id') AS BIGINT) AS id, count(*) AS n FROM items GROUP BY ALL",
     "document_match": "SELECT dataset, CAST(json_extract(doc, '$.id') AS BIGINT) AS id, count(*) AS n FROM matched_items GROUP BY ALL",

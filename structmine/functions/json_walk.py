@@ -8,6 +8,7 @@ shuffling stay with Spark.
 from __future__ import annotations
 
 import json
+import math
 import sys
 
 import pyarrow as pa
@@ -27,13 +28,74 @@ FLUSH_NODES = 200_000
 
 
 def parse(line):
-    """Parsed value and True, or None and False for a line that is no JSON."""
+    """Parsed value and True, or None and False for a line that is no JSON.
+
+    The one rule for what is JSON: every read and every reject goes through here.  ``NaN`` and
+    ``Infinity`` are numbers; a line nested deeper than the parser follows (some thousand levels)
+    is rejected.
+    """
     try:
         return json.loads(line), True
     except (ValueError, TypeError, RecursionError):
         return None, False
 
 
+def kind_of(line):
+    """JSON type name of a line, None for a line that is no JSON."""
+    value, ok = parse(line)
+    return TYPE_NAMES[TYPE_BITS[type(value)]] if ok else None
+
+
+def mark_kinds(column):
+    """mapInArrow function: the batches with a last column ``json_kind`` for the text ``column``."""
+
+    def run(batches):
+        for batch in batches:
+            kinds = pa.array([kind_of(x) for x in batch.column(column).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, kinds], [*batch.schema.names, "json_kind"])
+
+    return run
+
+
+def _whole(text):
+    """Text with every lone surrogate replaced by U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _texts(values, kind):
+    """An Arrow column of text or lists of text, whatever characters JSON escapes put there."""
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        clean = lambda v: v if v is None else [_whole(x) for x in v] if type(v) is list else _whole(v)
+        return pa.array([clean(v) for v in values], kind)
+
+
+def dump(value):
+    """JSON text of a value: escapes only where a lone surrogate needs one; infinite numbers become the
+    largest of a double, ``NaN`` null."""
+    try:
+        text = json.dumps(value, ensure_ascii=False, allow_nan=False)
+    except ValueError:
+        text = json.dumps(_finite(value), ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "surrogatepass")
+        text = "".join(c if not 0xD800 <= ord(c) < 0xE000 else f"\\u{ord(c):04x}" for c in text)
+    return text
+
+
+def _finite(value):
+    if type(value) is dict:
+        return {k: _finite(v) for k, v in value.items()}
+    if type(value) is list:
+        return [_finite(v) for v in value]
+    if type(value) is float and not math.isfinite(value):
+        return None if math.isnan(value) else math.copysign(sys.float_info.max, value)
+    return value
+
+
 def documents_of(line, keys):
     """Objects a line contributes: itself, or the object items of an array.
 
@@ -51,7 +113,7 @@ def documents_of(line, keys):
 class PathCounts:
     """Counts per (dataset, path, key), kept as a tree so that no path is built per value."""
 
-    SCHEMA = "dataset string, path array<string>, key string, n long, type_mask int"
+    SCHEMA = "dataset string, path array<string>, key string, n long, type_mask int, objects long"
     ARROW = pa.schema(
         [
             ("dataset", pa.string()),
@@ -59,6 +121,7 @@ class PathCounts:
             ("key", pa.string()),
             ("n", pa.int64()),
             ("type_mask", pa.int32()),
+            ("objects", pa.int64()),
         ]
     )
 
@@ -66,10 +129,10 @@ class PathCounts:
         self.roots, self.nodes = {}, 0
 
     def entry(self, members, key):
-        """[count, type mask, members below] of a key, made when first met."""
+        """[count, type mask, members below, objects] of a key, made when first met."""
         found = members.get(key)
         if found is None:
-            found = members[key] = [0, 0, {}]
+            found = members[key] = [0, 0, {}, 0]
             self.nodes += 1
         return found
 
@@ -78,6 +141,7 @@ class PathCounts:
         root = self.entry(self.roots, dataset)
         root[0] += 1
         root[1] |= bits[type(document)]
+        root[3] += type(document) is dict
         stack = [(root[2], document)]
         while stack:
             members, value = stack.pop()
@@ -88,6 +152,7 @@ class PathCounts:
                     entry[0] += 1
                     entry[1] |= bits[kind]
                     if kind is dict or kind is list:
+                        entry[3] += kind is dict
                         stack.append((entry[2], child))
             elif value:
                 entry = self.entry(members, ARRAY_ITEM)
@@ -96,22 +161,23 @@ class PathCounts:
                     kind = type(child)
                     entry[1] |= bits[kind]
                     if kind is dict or kind is list:
+                        entry[3] += kind is dict
                         stack.append((entry[2], child))
 
     def drain(self, root):
         """All counts so far as one batch; the documents themselves are member ``root`` of []."""
-        columns = [[], [], [], [], []]
+        columns = [[] for _ in self.ARROW]
         stack = [(dataset, [], {root: entry}) for dataset, entry in self.roots.items()]
         while stack:
             dataset, path, members = stack.pop()
-            for key, (n, mask, below) in members.items():
-                for column, cell in zip(columns, (dataset, path, key, n, mask)):
+            for key, (n, mask, below, objects) in members.items():
+                for column, cell in zip(columns, (dataset, path, key, n, mask, objects)):
                     column.append(cell)
                 if below:
                     stack.append((dataset, path + [key], below))
         self.roots, self.nodes = {}, 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, self.ARROW)], schema=self.ARROW
+            [_texts(c, f.type) for c, f in zip(columns, self.ARROW)], schema=self.ARROW
         )
 
 
@@ -142,7 +208,7 @@ def unnest_documents(batches):
     for batch in batches:
         datasets, lines, keys = (c.to_pylist() for c in batch.columns)
         out = [
-            (dataset, json.dumps(doc, ensure_ascii=False))
+            (dataset, dump(doc))
             for dataset, line, wanted in zip(datasets, lines, keys)
             for doc in documents_of(line, wanted)
         ]
@@ -198,7 +264,7 @@ def explode_values(n_carry, collapse_items):
 
             def flush():
                 arrays = [pa.array([c[i] for c in carried], fields[i].type) for i in range(n_carry)]
-                arrays += [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(rest)]
+                arrays += [_texts([r[i] for r in rows], f.type) for i, f in enumerate(rest)]
                 out = pa.RecordBatch.from_arrays(arrays, schema=schema)
                 carried.clear()
                 rows.clear()

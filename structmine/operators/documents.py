@@ -50,7 +50,7 @@ def documents(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
 def path_counts(
     lines: DataFrame, schemas: DataFrame | None = None, unnest: bool = True
 ) -> DataFrame:
-    """(dataset, path, key, n, type_mask) over all values inside the documents.
+    """(dataset, path, key, n, type_mask, objects) over all values inside the documents.
 
     The documents themselves are counted as key ``$`` of the empty path.
 
@@ -63,7 +63,7 @@ def path_counts(
         json_walk.count_paths(ROOT, unnest), json_walk.PathCounts.SCHEMA
     )
     return partial.groupBy("dataset", "path", "key").agg(
-        F.sum("n").alias("n"), F.bit_or("type_mask").alias("type_mask")
+        F.sum("n").alias("n"), F.bit_or("type_mask").alias("type_mask"), F.sum("objects").alias("objects")
     )
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
+from structmine.functions import patterns
 from structmine.functions.paths import ADDITIONAL_KEY, PATTERN_KEY, is_wildcard
 from structmine.session import cut_lineage
 
@@ -46,15 +48,9 @@ def match_paths(references: DataFrame, paths: DataFrame) -> DataFrame:
         )
     )
     key = lambda: F.to_json(F.struct("open", "literal"), {"ignoreNullFields": "false"})
-    fits = F.forall(
-        F.arrays_zip(F.col("schema_path").alias("s"), F.col("path").alias("k")),
-        lambda x: (x["s"] == ADDITIONAL_KEY)
-        | ~x["s"].startswith(PATTERN_KEY)
-        | F.rlike(
-            x["k"],
-            F.concat(F.lit(r"\A(?:"), F.substring(x["s"], len(PATTERN_KEY) + 1, 1 << 20), F.lit(r")\z")),
-        ),
-    )
+    # only rows with a pattern meet Python
+    plain = F.forall("schema_path", lambda s: (s == ADDITIONAL_KEY) | ~s.startswith(PATTERN_KEY))
+    fits = F.when(plain, True).otherwise(F.pandas_udf(patterns.all_fit, BooleanType())("schema_path", "path"))
     opened = (
         open_paths.withColumn("fit_key", key())
         .join(blanked.select("dataset", "path", key().alias("fit_key")), ["dataset", "fit_key"])
@@ -64,6 +60,17 @@ def match_paths(references: DataFrame, paths: DataFrame) -> DataFrame:
     return cut_lineage(exact.select("dataset", "ref", "path").unionByName(opened).distinct())
 
 
+def unreadable_patterns(references: DataFrame) -> DataFrame:
+    """(dataset) with a pattern that is no regular expression; every distinct pattern is tried once."""
+    keys = references.select("dataset", F.explode("path").alias("key")).where(
+        F.col("key").startswith(PATTERN_KEY) & (F.col("key") != ADDITIONAL_KEY)
+    )
+    found = keys.select("dataset", F.expr(f"substring(key, {len(PATTERN_KEY) + 1})").alias("pattern")).distinct()
+    readable = F.pandas_udf(patterns.readable, BooleanType())
+    bad = found.select("pattern").distinct().where(~readable("pattern"))
+    return found.join(bad, "pattern", "left_semi").select("dataset").distinct()
+
+
 def frequent_definitions(matched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Definitions met on more than one path, and the paths only single ones meet.
 

@@ -24,14 +24,12 @@ def path_profile(counts: DataFrame) -> DataFrame:
 def path_totals(profile: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(dataset, path, parent_frequency).
 
-    The total counts key occurrences; with ``counts`` it counts values at the path instead.
+    The total counts key occurrences; with ``counts`` it counts the objects at the path instead.
     """
     totals = profile.groupBy("dataset", "path").agg(F.sum("frequency").alias("parent_frequency"))
     if counts is None:
         return totals
-    objects = counts.where(F.col("type_mask").bitwiseAND(F.lit(32)) != 0).select(
-        "dataset", F.concat("path", F.array("key")).alias("path"), F.col("n").alias("objects")
-    )
+    objects = counts.where("objects > 0").select("dataset", F.concat("path", F.array("key")).alias("path"), "objects")
     return totals.join(objects, ["dataset", "path"]).select(
         "dataset", "path", F.col("objects").alias("parent_frequency")
     )

@@ -48,6 +48,9 @@ def mine(lines: DataFrame, schemas: DataFrame, keep_pattern: bool = False) -> Mi
     expanded = schema_graph.strip_definition_keywords(schema_graph.expand_nested(references))
     objects, not_objects = schema_graph.object_references(expanded, nodes)
     objects = cut_lineage(objects)
+    # a pattern that can't be read costs its own dataset, not the corpus
+    unreadable = cut_lineage(matching.unreadable_patterns(objects))
+    objects = objects.join(unreadable, "dataset", "left_anti")
 
     # datasets without objects leave through the schema side: the lines are joined once
     with_objects = loaded.join(objects.select("dataset").distinct(), "dataset", "left_semi")
@@ -84,7 +87,13 @@ def mine(lines: DataFrame, schemas: DataFrame, keep_pattern: bool = False) -> Mi
     status = (
         loaded.select("dataset")
         .join(reached, "dataset", "left")
-        .select("dataset", F.element_at(names, F.coalesce("passed", F.lit(0)) + 1).alias("status"))
+        .join(unreadable.withColumn("unreadable", F.lit(True)), "dataset", "left")
+        .select(
+            "dataset",
+            F.when(F.col("unreadable"), "error")
+            .otherwise(F.element_at(names, F.coalesce("passed", F.lit(0)) + 1))
+            .alias("status"),
+        )
         .unionByName(failed)
     )
     return MinedCorpus(status, truth, properties, summary)

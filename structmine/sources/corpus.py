@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from structmine.functions.json_walk import mark_kinds
 from structmine.operators.documents import documents
 from structmine.session import configure
 
@@ -33,9 +34,7 @@ def read_schemas(spark: SparkSession, folder: str) -> DataFrame:
     Text scans pass over files without content, so the names come from the listing.
     """
     configure(spark)
-    texts = spark.read.text(folder, wholetext=True).select(
-        F.col("_metadata.file_name").alias("dataset"), F.col("value").alias("schema")
-    )
+    texts = spark.read.text(folder, wholetext=True).select(_file_name().alias("dataset"), F.col("value").alias("schema"))
     named = file_listing(spark, folder).select("dataset").join(texts, "dataset", "left")
     return named.select("dataset", F.coalesce("schema", F.lit("")).alias("schema"))
 
@@ -43,32 +42,50 @@ def read_schemas(spark: SparkSession, folder: str) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(dataset, line) of every JSON-lines file in a folder."""
     configure(spark)
-    return spark.read.text(folder).select(F.col("_metadata.file_name").alias("dataset"), F.col("value").alias("line"))
+    return spark.read.text(folder).select(_file_name().alias("dataset"), F.col("value").alias("line"))
+
+
+def _decoded(name: Column) -> Column:
+    """A file's name as written; the one name of a dataset in every read."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def _file_name() -> Column:
+    return _decoded(F.col("_metadata.file_name"))
 
 
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(dataset, length) of the files in a folder, empty ones too: names and sizes only."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [(f.getPath().getName(), f.getLen()) for f in system.listStatus(path) if f.isFile()]
-    return spark.createDataFrame(found, "dataset string, length long")
+    """(dataset, length) of the files in a folder, empty ones too: names and sizes only.
+
+    Scans pass over empty files, so the names come from the index that Spark's driver makes of the folder
+    for any scan; sizes come from the scan.  As in every scan, files whose names begin with ``_`` or ``.``
+    are no datasets.
+    """
+    scan = spark.read.format("binaryFile").load(folder)
+    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "value string")
+    listed = listed.select(_decoded(F.substring_index("value", "/", -1)).alias("dataset"))
+    sizes = scan.select(_file_name().alias("dataset"), "length")
+    return listed.join(sizes, "dataset", "left").select("dataset", F.coalesce("length", F.lit(0)).alias("length"))
 
 
-def is_json(text) -> Column:
-    return F.expr(f"try_parse_json(`{text}`) is not null")
+def with_kind(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``json_kind``: the JSON type of the text, null where it is no JSON."""
+    configure(rows.sparkSession)
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return rows.mapInArrow(mark_kinds(text), f"{fields}, json_kind string")
 
 
 def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines that are JSON, and those that are not."""
-    configure(lines.sparkSession)
-    return lines.where(is_json("line")), lines.where(~is_json("line"))
+    marked = with_kind(lines, "line")
+    return marked.where("json_kind is not null").drop("json_kind"), marked.where("json_kind is null").drop("json_kind")
 
 
 def split_loaded(schemas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Schemas that parse, and (dataset, status ``load``) of the others."""
-    configure(schemas.sparkSession)
-    failed = schemas.where(~is_json("schema")).select("dataset", F.lit("load").alias("status"))
-    return schemas.where(is_json("schema")), failed
+    marked = with_kind(schemas, "schema")
+    failed = marked.where("json_kind is null").select("dataset", F.lit("load").alias("status"))
+    return marked.where("json_kind is not null").drop("json_kind"), failed
 
 
 def has_definitions(schema="schema") -> Column:
@@ -80,13 +97,12 @@ def has_definitions(schema="schema") -> Column:
 
 def validate(schemas: DataFrame, files: DataFrame) -> DataFrame:
     """(dataset, status): first failed check of ``exist, empty, loaded, definition``, or ``ok``."""
-    configure(schemas.sparkSession)
-    joined = schemas.join(files.select("dataset", "length"), "dataset", "left")
+    joined = with_kind(schemas, "schema").join(files.select("dataset", "length"), "dataset", "left")
     return joined.select(
         "dataset",
         F.when(F.col("length").isNull(), "exist")
         .when(F.col("length") == 0, "empty")
-        .when(~is_json("schema"), "loaded")
+        .when(F.col("json_kind").isNull(), "loaded")
         .when(~has_definitions(), "definition")
         .otherwise("ok")
         .alias("status"),
@@ -144,9 +160,7 @@ def _write_by_dataset(rows: DataFrame, column: str, folder: str, mode: str) -> N
 
 def clean_documents(lines: DataFrame) -> DataFrame:
     """Lines that hold an object or an array."""
-    configure(lines.sparkSession)
-    kind = F.expr("schema_of_variant(try_parse_json(line))")
-    return lines.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    return with_kind(lines, "line").where("json_kind in ('object', 'array')").drop("json_kind")
 
 
 def write_clean_documents(lines: DataFrame, folder: str, mode: str = "overwrite") -> None:
