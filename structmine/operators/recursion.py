@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from structmine.functions.paths import DEFINITION_KEYWORDS, count_subpath, last_segment
 from structmine.operators.schema_graph import local_refs
-from structmine.session import broadcast_if_small
 
 # The words dropped from a usage path.
 USAGE_KEYWORDS = (
@@ -51,10 +50,15 @@ def usage_paths(nodes: DataFrame, refs: DataFrame, strip_definition_names: bool
 def recursion_depth(usages: DataFrame, containers: DataFrame) -> DataFrame:
     """(dataset, ref, ref_path, max_depth): most repetitions of a usage path in one data path.
 
-    ``containers`` has distinct paths, so the join works on path shapes, not on documents.
+    ``containers`` has distinct paths, so the join works on path shapes, not on documents.  A usage
+    meets only paths that hold its first element; where there are none, its depth is 0.
     """
-    return (
-        containers.join(broadcast_if_small(usages), "dataset")
-        .groupBy("dataset", "ref", "ref_path")
-        .agg(F.max(count_subpath("path", "ref_path")).alias("max_depth"))
-    )
+    elements = containers.select("dataset", "path", F.explode(F.array_distinct("path")).alias("element"))
+    first = usages.where(F.size("ref_path") > 0).withColumn("element", F.element_at("ref_path", F.lit(1)))
+    met = elements.join(first, ["dataset", "element"]).drop("element")
+    # a usage path without elements has no first one to meet; a dataset has few of them
+    met = met.unionByName(containers.join(usages.where(F.size("ref_path") == 0), "dataset").select(*met.columns))
+    key = ["dataset", "ref", "ref_path"]
+    depths = met.groupBy(*key).agg(F.max(count_subpath("path", "ref_path")).alias("max_depth"))
+    asked = usages.select(*key).distinct().join(containers.select("dataset").distinct(), "dataset", "left_semi")
+    return asked.join(depths, key, "left").select(*key, F.coalesce("max_depth", F.lit(0)).alias("max_depth"))
