@@ -37,6 +37,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from structmine.llm.shared import local_path
+
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, "
     "refers_to string, payload_length long, payload binary"
@@ -169,7 +171,7 @@ class _Plain:
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "", 1))
+    return fs.FileSystem.from_uri(local_path(path))
 
 
 # -- reading ---------------------------------------------------------------------------------------
