@@ -16,6 +16,8 @@ from structmine.session import configure
 
 #: Bytes of text a task of a shuffle is meant to hold.
 TASK_BYTES = 16 * 1024 * 1024
+#: Bytes of an Arrow batch, as tasks of the same executor hold several.
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,7 +66,8 @@ def local_path(uri: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

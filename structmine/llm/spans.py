@@ -93,9 +93,9 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) <= n:
-        if n > 8 * SLICE_BYTES:  # a single long text: not kept
+        if n > 3 * SLICE_BYTES:  # a single long text: not kept
             return tuple(_powers_of(b, n) for b in (_BASE, _INVERSE))
-        size = max(n + n // 4, 2 * SLICE_BYTES)
+        size = n + n // 4
         _powers.update(up=_powers_of(_BASE, size), down=_powers_of(_INVERSE, size))
     return _powers["up"], _powers["down"]
 

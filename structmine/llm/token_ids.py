@@ -19,10 +19,10 @@ import numpy as np
 from structmine.llm import spans
 
 #: Distinct parts a worker keeps; beyond it those unused for longest are forgotten (results don't depend on it).
-MEMORY = 1_000_000
+MEMORY = 400_000
 TOGETHER = 256
 #: Bytes of texts whose parts are looked up at a time.
-AT_ONCE = 4 * spans.SLICE_BYTES
+AT_ONCE = 2 * spans.SLICE_BYTES
 
 _BLANK = ~spans.NOT_SPACE
 _BLANK[[28, 29, 30, 31]] = True
