@@ -217,3 +217,13 @@ def test_clusters_and_scores(spark):
     scores = clusters.cluster_scores(actual, found, actual)
     got = {(r["dataset"], r["tp"], r["fp"], r["fn"], round(r["f1_score"], 9)) for r in scores.collect()}
     assert got == {("d", 1, 1, 2, 0.4), ("e", 0, 0, 3, 0.0)}
+
+
+def test_unreadable_pattern_costs_its_own_dataset(spark):
+    """A pattern that is no regular expression, and a key that only looks like a wildcard."""
+    bad = ORDER_SCHEMA.replace('"additionalProperties":{"$ref"', '"patternProperties":{"(x":{"$ref"').replace('Party"}}},\n', 'Party"}}}},\n')
+    schemas = text_table(spark, "schema", [("good", ORDER_SCHEMA), ("bad", bad)])
+    lines = text_table(spark, "line", [(d, line) for d in ("good", "bad") for line in ORDER_LINES])
+    status = lambda **options: {r["dataset"]: r["status"] for r in mining.mine(lines, schemas, **options).status.collect()}
+    assert status(keep_pattern=True) == {"good": status()["good"], "bad": "error"}
+    assert status()["bad"] != "error"
