@@ -50,19 +50,18 @@ def parts(found: spans.Texts) -> spans.Spans:
     cut[1:] = ~blank[:-1] & ((data[1:] == 32) | (data[1:] == 10))
     cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
     cut[2:] |= ~blank[:-2] & (data[1:-1] == 10) & ~blank[2:]
-    filled = found.offsets[:-1][found.offsets[:-1] < found.offsets[1:]]
-    # places at a text's start looked at the text before
-    for near in (1, 0):
-        at = filled + near
-        at = at[at < len(data)]
-        cut[at] = near == 0 if near == 0 else _second(data, blank, at)
+    # near a text's start the rules above looked into the text before
+    first = found.offsets[:-1][found.offsets[:-1] < found.offsets[1:]]
+    second = first[first + 1 < len(data)] + 1
+    cut[second] = _one_back(data, blank, second)
+    cut[first] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(data)) if len(start) else start
     return spans.Spans(start, end, np.searchsorted(found.offsets, start, side="right") - 1)
 
 
-def _second(data: np.ndarray, blank: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether to cut before a text's second byte: the rules that look one byte back."""
+def _one_back(data: np.ndarray, blank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rules that look at one byte before the cut only."""
     return (~blank[at - 1] & ((data[at] == 32) | (data[at] == 10))) | (_LETTER[data[at - 1]] & _MARK[data[at]])
 
 
