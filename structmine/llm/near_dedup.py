@@ -7,10 +7,11 @@ each labelled by how often it stood before in the document (a document of fewer
 2. Order MinHash: each of ``SKETCHES`` hash functions takes the ``TAKEN`` smallest labelled k-mers and keeps
    them in text order.  Two documents share a sketch with about the ``TAKEN``-th power of their similarity.
 3. Documents that share a sketch are compared: all of them where a group is small.  Larger groups are
-   split by the following sketches and, where still large, compared with their most central document;
-   families of such groups whose documents are then in different classes are compared in blocks of bounded
-   size, those outside a family's largest class with all.  So no pair is left out, and a large group of
-   copies costs a few comparisons a document.
+   compared with their most central document, and also split by the following sketches and the parts
+   compared in the same way; families of large groups whose documents are then in different classes are
+   compared in blocks of bounded size, those outside a family's largest class with all.  So no pair of a
+   group is left out but those already in one class, and a large group of copies costs a few comparisons
+   a document.
 4. Verification aligns the labelled k-mers of two documents in order, within a band around the diagonal:
    the longest chain of equal k-mers, over all k-mers of both less the chain, is to be 0.8 or more.  With
    no part moved this is the Jaccard similarity of their shingles.
@@ -46,7 +47,7 @@ TAKEN = 5
 SMALL = 12
 #: Labelled k-mers in a block of documents outside their family's largest class, and of all of a family.
 BLOCK_KMERS = (1 << 17, 1 << 18)
-#: A larger group is split by so many of the following sketches.
+#: A larger group is also split by so many of the following sketches.
 SPLITS = 5
 #: A pair lies within the band where its places differ by less than this share of the longer document.
 BAND = 0.5
@@ -193,7 +194,8 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     following = lambda o, step: F.xxhash64(
         o["key"], F.lit(step), F.element_at("sketches", (o["place"] + step) % SKETCHES + 1)
     )
-    keys = F.flatten(F.transform("own", lambda o: F.array(*[following(o, i + 1) for i in range(SPLITS)])))
+    # the whole group too: a document may share none of the following sketches
+    keys = F.flatten(F.transform("own", lambda o: F.array(o["key"], *[following(o, i + 1) for i in range(SPLITS)])))
     rank = F.struct(F.size("own").alias("groups"), F.xxhash64("doc"), "doc", "n").alias("rank")
     split = large.select("doc", "n", rank, F.explode(keys).alias("key"))
     # the most central document is the one in most large groups

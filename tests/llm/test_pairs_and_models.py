@@ -130,6 +130,23 @@ def test_near_duplicates_by_brute_force(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(d) for d in texts})
 
 
+def test_large_groups_lose_no_pair(documents, spark):
+    """Texts that share one sketch and none of the following; the first two are alike."""
+    rows = [(i, " ".join(words(60, 500 + i))) for i in range(1, 20)]
+    rows = [(0, rows[0][1] + " more"), *rows]
+    docs = documents(rows)
+    key = {r["doc_id"]: r["text_key"] for r in near_dedup.sketched(docs).collect()}
+    made = [(d, key[d], 56 + (d == 0), [7] + [1000 * d + k for k in range(1, near_dedup.SKETCHES)]) for d, _ in rows]
+    texts = spark.createDataFrame(made, "doc long, text_key string, n long, sketches array<bigint>")
+    pairs, large = near_dedup.candidates(texts)
+    assert {r["doc"] for r in large.collect()} == {d for d, _ in rows} and pairs.count() <= len(rows)
+    table = near_dedup.words_table(docs, texts.select("doc", "text_key"))
+    links = near_dedup.verified(pairs, table)
+    apart = near_dedup._apart(large, components.components(links.select("doc1", "doc2")))
+    links = links.unionByName(near_dedup._between(apart, table)).collect()
+    assert {(r["doc1"], r["doc2"]) for r in links} == {(0, 1)}
+
+
 def test_near_duplicates_edges(documents):
     assert near_dedup.classes(documents([])).count() == 0 and near_dedup.select(documents([])).count() == 0
     assert near_dedup.classes(documents(EDGES)).count() == len(EDGES) - 1
