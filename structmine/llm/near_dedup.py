@@ -6,6 +6,8 @@ each labelled by how often it stood before in the document (a document of fewer
 1. Documents of equal text are one class from the start; below, a document is one of distinct text.
 2. Order MinHash: each of ``SKETCHES`` hash functions takes the ``TAKEN`` smallest labelled k-mers and keeps
    them in text order.  Two documents share a sketch with about the ``TAKEN``-th power of their similarity.
+   Documents of few k-mers (``SHORT``) have further sketches of ``FEW`` k-mers: there, one k-mer more changes
+   nearly every sketch of five.
 3. Documents that share a sketch are compared: all of them where a group is small.  Larger groups are
    compared with their most central document, and also split by the following sketches and the parts
    compared in the same way; families of large groups whose documents are then in different classes are
@@ -17,7 +19,8 @@ each labelled by how often it stood before in the document (a document of fewer
    no part moved this is the Jaccard similarity of their shingles.
 5. Classes are the connected components of the links.
 
-At a similarity of 0.8 two documents share no group in about one case of 10,000 (28 sketches of five).
+At a similarity of 0.8 two documents share no group in at most one case of 10,000 (28 sketches of five, and
+28 of two where both are short).
 
 Edge cases: a null text is empty; texts without a word are only in a class with equal texts; rows with a
 null id are in no class and are kept; rows with equal id and text are one document; an empty table gives
@@ -43,6 +46,9 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 28
 TAKEN = 5
+#: Documents of so many labelled k-mers have as many sketches again, of ``FEW`` of them; with fewer, only equal lists are alike.
+SHORT = (4, 20)
+FEW = 2
 #: Groups up to this size are compared pair by pair.
 SMALL = 12
 #: Labelled k-mers in a block of documents outside their family's largest class, and of all of a family.
@@ -91,12 +97,17 @@ def labelled(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def sketches(kmers: np.ndarray) -> np.ndarray:
     """The order MinHash sketches of one document's labelled k-mers."""
+    found = _sketches(kmers, TAKEN)
+    return np.concatenate([found, _sketches(kmers, FEW)]) if SHORT[0] <= len(kmers) <= SHORT[1] else found
+
+
+def _sketches(kmers: np.ndarray, most: int) -> np.ndarray:
     n, out = len(kmers), []
     step = max(1, min(SKETCHES, (1 << 21) // max(n, 1)))
     for a in range(0, SKETCHES, step):
         keys = (kmers[None, :] ^ _SEEDS[a : a + step, None]) * _FACTORS[a : a + step, None]
-        if n > TAKEN:
-            places = np.sort(np.argpartition(keys, TAKEN - 1, axis=1)[:, :TAKEN], axis=1)
+        if n > most:
+            places = np.sort(np.argpartition(keys, most - 1, axis=1)[:, :most], axis=1)
         else:
             places = np.broadcast_to(np.arange(n), (len(keys), n))
         taken, value = kmers[places], np.zeros(len(keys), np.uint64)
@@ -191,9 +202,9 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a document's large groups side by side: at most one a sketch
     own = F.collect_list(F.struct("place", "key")).alias("own")
     large = groups.where(F.col("size") > SMALL).groupBy("doc").agg(own).join(texts.select("doc", "n", "sketches"), "doc")
-    following = lambda o, step: F.xxhash64(
-        o["key"], F.lit(step), F.element_at("sketches", (o["place"] + step) % SKETCHES + 1)
-    )
+    # sketches of one kind follow each other in a ring
+    ring = lambda o, step: o["place"] - o["place"] % SKETCHES + (o["place"] + step) % SKETCHES
+    following = lambda o, step: F.xxhash64(o["key"], F.lit(step), F.element_at("sketches", ring(o, step) + 1))
     # the whole group too: a document may share none of the following sketches
     keys = F.flatten(F.transform("own", lambda o: F.array(o["key"], *[following(o, i + 1) for i in range(SPLITS)])))
     rank = F.struct(F.size("own").alias("groups"), F.xxhash64("doc"), "doc", "n").alias("rank")

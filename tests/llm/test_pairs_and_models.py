@@ -147,6 +147,20 @@ def test_large_groups_lose_no_pair(documents, spark):
     assert {(r["doc1"], r["doc2"]) for r in links} == {(0, 1)}
 
 
+def test_short_near_duplicates_by_brute_force(documents):
+    """Texts of 8 and 9 words with a word before or after, and of 13 with one changed at an end."""
+    rows = []
+    for i in range(40):
+        own = words(13 if i % 4 == 3 else 8 + i % 2, 700 + i)
+        other = ([*own, "more"], ["more", *own])[i // 2 % 2] if i % 4 < 3 else [*own[:-1], "more"]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    bags = {d: bag(t) for d, t in rows}
+    want = {(a, b) for a in bags for b in bags if a < b and alike(bags[a], bags[b]) >= 0.8}
+    assert want == {(2 * i, 2 * i + 1) for i in range(40)}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(rows)).collect()}
+    assert got == {d: d - d % 2 for d in bags}
+
+
 def test_near_duplicates_edges(documents):
     assert near_dedup.classes(documents([])).count() == 0 and near_dedup.select(documents([])).count() == 0
     assert near_dedup.classes(documents(EDGES)).count() == len(EDGES) - 1
