@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are lower-cased runs of letters and digits.  An item of ``n`` words is a bag of its shingles of
-five words (of ``n`` words where it has fewer).  A window of ``n`` words of a document matches the item
-where their weighted similarity, the sum of the lesser counts over the sum of the greater, is 0.8 or
+five words (of ``n`` words where it has fewer).  A window of ``n`` words of a document, or the whole of a document of fewer
+words, matches the item where their weighted similarity, the sum of the lesser counts over the sum of the greater, is 0.8 or
 more.
 
 1. Windows of the items' sizes get a 64-bit SimHash of their shingles.  Windows that can't reach the
@@ -11,6 +11,8 @@ more.
    ``RADIUS`` = 19 bits agree in some block but for four bits, so a table of every block's values within
    four bits of the items' finds all items within the radius.
 3. The exact weighted similarity of each window and item found decides.
+4. A document of fewer words than an item is one window for it: such documents with enough shingles in the items
+   get the exact similarity to all items that share one, so none is missed.
 
 At a similarity of 0.8 fingerprints differ by 10 bits on average (standard deviation 3), beyond the radius
 in less than one case of a thousand.  Items are a query set: they are taken in blocks of ``BLOCK_ITEMS``, so what is
@@ -91,6 +93,12 @@ class ItemIndex:
             for k in sorted({min(int(w), SHINGLE) for w in self.words})
         }
         self.tables = [self._table(b) for b in range(BLOCKS)]
+        # the items of each shingle of five words, and how often they have it
+        five = [i for i, w in enumerate(self.words) if w > SHINGLE]
+        kinds, counts = (np.concatenate([np.zeros(0, t), *(self.bags[i][k] for i in five)]) for k, t in ((0, np.uint64), (1, np.int64)))
+        items = np.repeat(np.array(five, np.int64), [len(self.bags[i][0]) for i in five])
+        order = np.argsort(kinds, kind="stable")
+        self.postings = kinds[order], items[order], counts[order]
 
     def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
@@ -137,6 +145,8 @@ class ItemIndex:
             hits = np.concatenate([[0], np.cumsum(hit)])
             for words in self.sizes[np.minimum(self.sizes, SHINGLE) == k]:
                 self._windows(int(words), k, shingles, hashes, row, hits, place, found)
+            if k == SHINGLE:
+                self._whole(shingles, row, hits, found)
         return found
 
     def _windows(self, words, k, shingles, hashes, row, hits, place, found) -> None:
@@ -162,6 +172,30 @@ class ItemIndex:
                     found[key] = (*(own if similarity > best[0] else best[:3]), best[3] + 1)
 
 
+    def _whole(self, shingles, row, hits, found) -> None:
+        """Texts of fewer words than an item, each as one window."""
+        rows, first, words = np.unique(row, return_index=True, return_counts=True)
+        n = words - SHINGLE + 1
+        # the next larger item has one shingle more at least
+        enough = np.ceil((2 * n + 1) * self.similarity / (1 + self.similarity) - 1e-9)
+        short = np.flatnonzero((n > 0) & (words < self.words.max()))
+        short = short[hits[first[short] + n[short]] - hits[first[short]] >= enough[short]]
+        kinds, items, counts = self.postings
+        for i in short:
+            own = shingles[first[i] : first[i] + n[i]]
+            each, times = np.unique(own, return_counts=True)
+            a = np.searchsorted(kinds, each, "left")
+            held = np.searchsorted(kinds, each, "right") - a
+            at = np.arange(held.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(held)[:-1]]), held)
+            shared = np.bincount(items[at], np.minimum(counts[at], np.repeat(times, held)), len(self.ids))
+            similarity = shared / (np.maximum(self.words - SHINGLE + 1, 1) + n[i] - shared)
+            near = np.flatnonzero((self.words > words[i]) & (shared > 0) & (similarity >= self.similarity))
+            if len(near):
+                bits = np.bitwise_count(simhash(own[None, :])[0] ^ self.prints[near])
+                for item, b in zip(near.tolist(), bits.tolist()):
+                    found[int(rows[i]), item] = (float(similarity[item]), 0, b, 1)
+
+
 def item_indexes(items: DataFrame, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> Iterator[ItemIndex]:
     """The items in blocks that are bounded whatever their number."""
     items = items.select("item_id", "text")

@@ -74,6 +74,33 @@ def test_contaminated_by_brute_force(documents, spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_truncated_items_by_brute_force(documents, spark):
+    """Texts shorter than the item: its first or last words, some with a word changed, some with repeats."""
+    items = [(i, " ".join(words(n, 300 + i))) for i, n in enumerate((6, 9, 10, 25, 50, 59))]
+    items += [(6, items[4][1]), (7, " ".join(words(6, 310) * 5)), (8, "one two"), (9, None)]
+    docs = []
+    for _, item in items[:8]:
+        own = item.split()
+        for less in range(1, 16):
+            docs += [own[:-less], own[less:], ["changed", *own[less + 1 :]]]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want = {}
+    for d, text in docs:
+        found = text.split()
+        for i, item in items:
+            n = len((item or "").split())
+            windows = [found] if len(found) < n else [found[k : k + n] for k in range(len(found) - n + 1)]
+            best = max((alike(bag(" ".join(w)), bag(item)) for w in windows), default=0) if n else 0
+            if best >= 0.8:
+                want[d, i] = best
+    assert any(len(docs[d][1].split()) == 48 and i == 4 for d, i in want)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(documents(docs), table).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    clean = decontaminate.select(documents(docs), table)
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_contaminated_edges(documents, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(documents(EDGES), none).count() == 0
