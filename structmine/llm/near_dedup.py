@@ -266,10 +266,11 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> D
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, class_id`` (the smallest id of the class) and ``n_links`` of every document.
+    """``doc_id, text_key, class_id`` (the smallest id of the class) and ``n_verified_links`` of every document.
 
-    ``n_links`` counts the verified links of the document's text to other texts.  Comparisons between
-    documents already in one class are left out, so a large class has fewer links than similar pairs.
+    ``n_verified_links`` counts the verified links of the document's text to other texts.  Comparisons between
+    documents already in one class are left out, so a large class has fewer links than similar pairs
+    and the column is no count of similar texts.
     """
     documents = kept(sketched(docs), "sketches")
     texts = documents.groupBy("text_key").agg(
@@ -288,16 +289,18 @@ def classes(docs: DataFrame) -> DataFrame:
         links = kept(links.unionByName(_between(apart, words)), "links")
         found = components(links.select("doc1", "doc2"))
     ends = links.select(F.col("doc1").alias("doc")).unionByName(links.select(F.col("doc2").alias("doc")))
-    counted = ends.groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
+    counted = ends.groupBy("doc").agg(F.count(F.lit(1)).alias("n_verified_links"))
     named = (
         texts.select("text_key", "doc")
         .join(found, "doc", "left")
         .join(counted, "doc", "left")
         .select(
-            "text_key", F.coalesce("component", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+            "text_key",
+            F.coalesce("component", "doc").alias("class_id"),
+            F.coalesce("n_verified_links", F.lit(0)).alias("n_verified_links"),
         )
     )
-    return documents.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id", "n_links")
+    return documents.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id", "n_verified_links")
 
 
 def _apart(large: DataFrame, found: DataFrame) -> DataFrame:

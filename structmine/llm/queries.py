@@ -45,7 +45,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_verified_links")
 
 
 def _tokenizer(name: str) -> str:

@@ -195,6 +195,16 @@ def test_near_duplicates_edges(documents):
     assert sorted(kept, key=str) == sorted([1, 3, 4, 5, 6, None], key=str)
 
 
+def test_links_are_named_for_what_they_count(documents):
+    """Forty texts, each alike to most others; which links are verified depends on the groups."""
+    base = words(150, 998)
+    rows = [(i, " ".join([*base[: 3 * i], f"edit{i}", *base[3 * i + 1 :]])) for i in range(40)]
+    got = near_dedup.classes(documents(rows))
+    assert got.columns == ["doc_id", "text_key", "class_id", "n_verified_links"]
+    counts = [r["n_verified_links"] for r in got.collect()]
+    assert min(counts) >= 1 and sum(counts) <= 40 * 39
+
+
 def test_chain_is_the_longest_in_order():
     a = np.array([5, 1, 9, 7, 3], np.uint64)
     assert near_dedup.chain(a, a) == 5 and near_dedup.chain(a, a[::-1].copy(), band=1) == 1
