@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +14,14 @@ from structmine.llm import (
     licence_scan,
     near_dedup,
     packing,
+    periodic_runs,
+    private_data,
     quality_classifier,
     quality_rules,
     token_store,
     toxicity,
     warc_source,
+    whitening,
 )
 from structmine.llm.shared import new_folder, table
 
@@ -96,9 +102,34 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def repeated_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For a tenth of the ids, told by their checksum, the words that repeat from some word on; a null id is in no tenth."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i >= a, a + (i - a) % p, i)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find(table(spark, sf_dir, "documents"), repeated_words).drop("n_words", "n_kept")
+
+
 QUERIES = (
     op1_quality_classifier, op2_decontaminate, op3_near_dedup, op4_lattice_lm, op5_token_store,
-    op6_packing, op7_licence_scan, op8_warc, op9_toxicity, op10_quality_rules,
+    op6_packing, op7_licence_scan, op8_warc, op9_toxicity, op10_quality_rules, op11_private_data,
+    op12_whitening, op13_periodic_runs,
 )
 
 #: What SQL can express of the above: roles of records need no archive to be told.

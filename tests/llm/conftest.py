@@ -19,3 +19,16 @@ EDGES = [
     (1, None), (2, ""), (3, " \n\t "), (4, "Ein kurzer Text."), (4, "Ein kurzer Text."),
     (5, "wort " * 60_000), (6, "x" * 50_000), (None, "no id at all, but some words stand here"),
 ]
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """Writes tables as the registered queries read them, with columns that clash with those the operators make."""
+
+    def make(**tables):
+        for name, df in tables.items():
+            clash = {c: F.lit(7) for c in ("kept", "score", "row", "kind", "n", "vector", "start", "instance", "tokens")}
+            df.withColumns(clash).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return make
