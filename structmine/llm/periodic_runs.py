@@ -229,19 +229,43 @@ def _extended(ids: np.ndarray, places: np.ndarray, lags: np.ndarray) -> Runs:
     return Runs(columns[:, 0], columns[:, 1], columns[:, 2])
 
 
-def runs(ids: np.ndarray, direct: int = DIRECT) -> Runs:
-    """All runs of a sequence of word numbers, by start, then period."""
-    found = _direct(ids, direct)
+def _chosen(n: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the sequences chosen, each with the separator after it."""
+    size = n[which] + 1
+    return np.arange(size.sum()) + np.repeat(first[which] - (np.cumsum(size) - size), size)
+
+
+def runs_of(parts: list[np.ndarray], direct: int = DIRECT) -> list[Runs]:
+    """All runs of each of several sequences of word numbers, by start, then period.
+
+    They are searched as one array in which a number of its own ends each, so no run leaves its sequence;
+    a scale takes those that are long enough for it.
+    """
+    n = np.array([len(p) for p in parts], np.int64)
+    first = np.cumsum(n + 1) - (n + 1)
+    whole = np.concatenate([x for i, p in enumerate(parts) for x in (p, [-1 - i])]).astype(np.int64)
+    longest = int(n.max())
+    found = _direct(whole, min(direct, longest // 2))
     low = direct
-    while 2 * (low + 1) <= len(ids):
-        found.append(_extended(ids, *_seeds(ids, found, low)))
+    while 2 * (low + 1) <= longest:
+        which = np.flatnonzero(n >= 2 * (low + 1))
+        places = _chosen(n, first, which)
+        moved = np.cumsum(n[which] + 1) - (n[which] + 1) - first[which]
+        known = []
+        for r in found:
+            owner = np.searchsorted(first, r.start, side="right") - 1
+            at = np.minimum(np.searchsorted(which, owner), len(which) - 1)
+            here = which[at] == owner
+            known.append(Runs(r.start[here] + moved[at[here]], r.end[here] + moved[at[here]], r.period[here]))
+        ids = whole[places]
+        new = _extended(ids, *_seeds(ids, known, low))
+        found.append(Runs(places[new.start], places[new.end - 1] + 1, new.period))
         low *= 2
-    if not found:
-        none = np.zeros(0, np.int64)
-        return Runs(none, none, none)
-    every = Runs(*(np.concatenate(c) for c in zip(*found)))
+    every = Runs(*(np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found))) if found else Runs(*[np.zeros(0, np.int64)] * 3)
     order = np.lexsort((every.period, every.start))
-    return Runs(*(c[order] for c in every))
+    start, end, period = (c[order] for c in every)
+    cuts = np.searchsorted(start, np.append(first, len(whole)))
+    return [Runs(start[a:b] - f, end[a:b] - f, period[a:b]) for a, b, f in zip(cuts[:-1], cuts[1:], first)]
 
 
 def kept_words(n: int, found: Runs) -> np.ndarray:
@@ -255,7 +279,7 @@ def kept_words(n: int, found: Runs) -> np.ndarray:
 def _row(ids: np.ndarray, words: list[bytes], found: Runs) -> tuple:
     length = found.end - found.start
     listing = "".join(f"{s},{n},{q}\n" for s, n, q in zip(found.start.tolist(), length.tolist(), found.period.tolist()))
-    kept = kept_words(len(ids), found)
+    kept = kept_words(len(ids), found) if len(length) else np.ones(len(ids), bool)
     collapsed = b" ".join([words[i] for i in ids[kept].tolist()])
     best: tuple = (None,) * 4
     if len(length):
@@ -279,12 +303,12 @@ def find(docs: DataFrame, order: Callable[[int | None, int], np.ndarray | None]
             coded = spans.cut_out(found, words.start, words.end).dictionary_encode()
             known, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             first = np.searchsorted(words.row, np.arange(found.rows + 1))
-            rows = []
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+            docs_here, parts = batch.column("doc_id").to_pylist(), []
+            for i, doc in enumerate(docs_here):
                 own = ids[first[i] : first[i + 1]]
                 index = order(doc, len(own)) if order and len(own) else None
-                own = own if index is None else own[index]
-                rows.append((doc, len(own), *_row(own, known, runs(own))))
+                parts.append(own if index is None else own[index])
+            rows = [(doc, len(own), *_row(own, known, r)) for doc, own, r in zip(docs_here, parts, runs_of(parts))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*rows)], _NAMES
             )

@@ -55,10 +55,9 @@ def sequences(seed):
 
 @pytest.mark.parametrize("direct", [8, 16, 64])
 def test_all_runs(direct):
-    for seed in range(120):
-        x = sequences(seed)
-        found = periodic_runs.runs(np.array(x, np.int64), direct)
-        assert list(zip(found.start.tolist(), (found.end - found.start).tolist(), found.period.tolist())) == brute_force(x), seed
+    parts = [sequences(seed) for seed in range(120)]
+    for x, found in zip(parts, periodic_runs.runs_of([np.array(x, np.int64) for x in parts], direct)):
+        assert list(zip(found.start.tolist(), (found.end - found.start).tolist(), found.period.tolist())) == brute_force(x)
 
 
 def answer(doc, text):
