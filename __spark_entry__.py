@@ -21,6 +21,7 @@ from structmine.operators import (
     candidates,
     classify,
     clusters,
+    definition_graph,
     definition_walk,
     documents,
     features,
@@ -192,6 +193,29 @@ def definition_paths(spark, folder):
     return _shown(_expanded(spark, folder), "path")
 
 
+def _definition_references(spark, folder):
+    make = lambda: cut_lineage(schema_graph.definition_references(schema_graph.reference_paths(_nodes(spark, folder))))
+    return _once(spark, folder, "definition references", make)
+
+
+def expansion_bounds(spark, folder):
+    return definition_graph.expansion_bounds(_definition_references(spark, folder))
+
+
+def expansion_left(spark, folder):
+    """Nested references that three substitutions leave unresolved, by the definition they still lead to."""
+    left = schema_graph.expanded_and_left(_definition_references(spark, folder), limit=3)[1]
+    return _shown(left, "rest").select("dataset", "ref", "target", "rest")
+
+
+def definition_cycles(spark, folder):
+    return definition_graph.definition_cycles(_definition_references(spark, folder))
+
+
+def definition_flags(spark, folder):
+    return definition_graph.definition_flags(_nodes(spark, folder))
+
+
 def object_definitions(spark, folder):
     references, nodes = _expanded(spark, folder), _nodes(spark, folder)
     kept, _ = schema_graph.object_references(references, nodes)
@@ -401,7 +425,7 @@ QUERIES = (
     path_profile, path_summary, frequent_paths, object_counts, document_unnest, document_match,
     rejected_lines, clean_lines, type_mix, container_paths, draft_counts, schema_nodes,
     corpus_validation, validation_funnel, reference_paths, definition_paths, object_definitions,
-    dereference_status, matched_paths, ref_attribution, recursive_references, recursion_depth,
+    expansion_bounds, expansion_left, definition_cycles, definition_flags, dereference_status, matched_paths, ref_attribution, recursive_references, recursion_depth,
     dataset_status, processing_funnel, ground_truth, truth_round_trip, path_records,
     path_definition, candidate_pairs, pair_averages, cluster_pair_counts, cluster_scores,
     corpus_average, evaluation_rows, global_schema, positive_pairs, labelled_pairs, pair_scores,

@@ -61,6 +61,16 @@ FROM kw JOIN (VALUES ('Party', '$.customer'), ('Line', '$.lines.<ARRAY_ITEM>'),
 UNION ALL SELECT dataset, '#/definitions/Prev', '$.prev' FROM kw WHERE k = 2
 UNION ALL SELECT dataset, '#/definitions/Node', '$.tree' || repeat('.kid', CAST(j AS INTEGER)) FROM kw, range(10) r(j) WHERE k = 2
 UNION ALL SELECT dataset, '#/definitions/Node', '$.prev' || repeat('.kid', CAST(j AS INTEGER)) FROM kw, range(9) r(j) WHERE k = 2""",
+    "heads": r"""SELECT DISTINCT dataset, ref, CASE WHEN nested THEN '#/' || p[2] || '/' || p[3] END AS target,
+array_to_string(CASE WHEN nested THEN p[4:] ELSE p END, '.') AS rest
+FROM (SELECT dataset, ref, string_split(path, '.') AS p, len(p) >= 3 AND p[2] IN ('$defs', 'definitions') AS nested FROM references_)""",
+    "walks": """SELECT dataset, ref, target, rest, 0 AS k FROM heads
+UNION ALL SELECT w.dataset, w.ref, h.target, concat_ws('.', nullif(h.rest, ''), nullif(w.rest, '')), k + 1
+FROM walks w JOIN heads h ON w.dataset = h.dataset AND w.target = h.ref WHERE k < 9""",
+    "ways": """SELECT dataset, ref AS a, target AS b FROM heads WHERE target IS NOT NULL
+UNION SELECT w.dataset, a, target FROM ways w JOIN heads h ON w.dataset = h.dataset AND b = ref WHERE target IS NOT NULL""",
+    "circles": """SELECT p.dataset, p.a AS ref, min(p.b) AS component FROM ways p JOIN ways q ON p.dataset = q.dataset AND p.a = q.b AND p.b = q.a
+GROUP BY p.dataset, p.a""",
     "object_refs": "SELECT * FROM expanded WHERE ref NOT LIKE '%/Code'",
     "profile": profile_of("status_items"),
     "totals": totals_of("profile"),
@@ -163,6 +173,16 @@ FROM (SELECT * FROM schemas WHERE json_valid(schema)) s, json_tree(s.schema) t G
 FROM (VALUES (1, 'exist'), (2, 'empty'), (3, 'loaded'), (4, 'definition'), (5, 'error')) v(p, s)""",
     "reference_paths": "SELECT dataset, ref, path FROM references_",
     "definition_paths": "SELECT dataset, ref, path FROM expanded",
+    "expansion_bounds": """SELECT dataset, dataset IN (SELECT dataset FROM circles) AS cyclic, count(*) FILTER (target IS NULL) AS paths_expected,
+count(*) FILTER (known AND k = 9) AS paths_cut, count(*) FILTER (target IS NOT NULL AND NOT known) AS paths_dangling,
+count(*) FILTER (known AND k = 9) = 0 AS unrolled
+FROM (SELECT w.*, target IS NOT NULL AND EXISTS (SELECT 1 FROM heads h WHERE h.dataset = w.dataset AND h.ref = w.target) AS known FROM walks w) GROUP BY dataset""",
+    "expansion_left": """SELECT DISTINCT dataset, ref, target, rest FROM walks w WHERE target IS NOT NULL AND k <= 3
+AND (k = 3 OR NOT EXISTS (SELECT 1 FROM heads h WHERE h.dataset = w.dataset AND h.ref = w.target))""",
+    "definition_cycles": "SELECT dataset, ref, component FROM circles",
+    "definition_flags": """SELECT dataset, replace(name, 'Party', party) AS name, name NOT IN ('Code') AS object_like, false AS cyclic
+FROM kw JOIN (VALUES ('Party', 0), ('Line', 0), ('Contact', 0), ('Code', 0), ('Nation', 0), ('Node', 2), ('Prev', 2)) v(name, w)
+ON CASE WHEN w = 0 THEN k < 2 ELSE k = 2 END""",
     "object_definitions": "SELECT DISTINCT dataset, ref, CAST(ref NOT LIKE '%/Code' AS INTEGER) AS object_like FROM expanded",
     "matched_paths": "SELECT dataset, ref, path FROM matched",
     "dataset_status": "SELECT dataset, status FROM status",

@@ -119,29 +119,42 @@ def definition_references(references: DataFrame) -> DataFrame:
     return references.where(F.size(F.split("ref", "/")) == 3)
 
 
-def expand_nested(references: DataFrame) -> DataFrame:
+def definition_steps(references: DataFrame) -> DataFrame:
+    """Distinct (dataset, ref, target, rest): the definition a path starts at, null for a data path, and its tail."""
+    path = F.col("path")
+    nested = (F.size(path) >= 3) & F.try_element_at(path, F.lit(2)).isin(*DEFINITION_KEYWORDS)
+    return references.select(
+        "dataset",
+        "ref",
+        F.when(nested, F.concat_ws("/", F.lit("#"), F.slice(path, 2, 2))).alias("target"),
+        F.when(nested, F.slice(path, 4, F.size(path))).otherwise(path).alias("rest"),
+    ).distinct()
+
+
+def expand_nested(references: DataFrame, limit: int = MAX_SUBSTITUTIONS) -> DataFrame:
     """Replace paths that start at a definition by the paths that reach the definition.
 
     Each round swaps one leading ``$ / keyword / name`` for a path of that definition.  Cyclic
-    definitions unroll and end with the last round; what still leads to a definition then, or
-    to one never referenced, is gone.
+    definitions unroll and end with round ``limit``; what still leads to a definition then, or
+    to one never referenced, is not in the result: ``expanded_and_left`` has it, ``definition_graph.expansion_bounds`` counts it.
     """
-    path = F.col("path")
-    nested = (F.size(path) >= 3) & F.try_element_at(path, F.lit(2)).isin(*DEFINITION_KEYWORDS)
-    heads = cut_lineage(
-        references.select(
-            "dataset",
-            "ref",
-            F.when(nested, F.concat_ws("/", F.lit("#"), F.slice(path, 2, 2))).alias("target"),
-            F.when(nested, F.slice(path, 4, F.size(path))).otherwise(path).alias("rest"),
-        ).distinct()
-    )
+    return expanded_and_left(references, limit)[0]
+
+
+def expanded_and_left(references: DataFrame, limit: int = MAX_SUBSTITUTIONS) -> tuple[DataFrame, DataFrame]:
+    """``expand_nested``, and the (dataset, ref, target, rest) that still lead to a definition after the last round.
+
+    Those left for want of rounds have a ``target`` that references lead to; the others' is referred to by nothing.
+    """
+    heads = cut_lineage(definition_steps(references))
     finished = heads.where("target is null").select("dataset", "ref", F.col("rest").alias("path"))
     steps = heads.select(
         "dataset", F.col("ref").alias("target"), F.col("target").alias("next"), F.col("rest").alias("front")
     )
+    known = heads.select("dataset", F.col("ref").alias("target")).distinct()
     frontier = heads.where("target is not null")
-    for _ in range(MAX_SUBSTITUTIONS):
+    left = frontier.join(known, ["dataset", "target"], "left_anti")
+    for _ in range(limit):
         if frontier.isEmpty():
             break
         moved = cut_lineage(
@@ -153,7 +166,9 @@ def expand_nested(references: DataFrame) -> DataFrame:
             moved.where("target is null").select("dataset", "ref", F.col("rest").alias("path"))
         )
         frontier = moved.where("target is not null")
-    return finished.distinct()
+        left = left.unionByName(frontier.join(known, ["dataset", "target"], "left_anti"))
+    cut = frontier.join(known, ["dataset", "target"], "left_semi")
+    return finished.distinct(), left.unionByName(cut).select("dataset", "ref", "target", "rest").distinct()
 
 
 def strip_definition_keywords(references: DataFrame) -> DataFrame:
@@ -183,17 +198,10 @@ def definition_roots(nodes: DataFrame) -> DataFrame:
     )
 
 
-def object_like_definitions(nodes: DataFrame) -> DataFrame:
-    """(dataset, name) of definitions that describe an object with properties.
-
-    A node counts when it says so itself, or when its reference or one of its
-    ``oneOf/anyOf/allOf`` branches does.  The answer spreads from the plain nodes along these
-    edges, one join per round, until nothing new is reached; cycles add nothing.
-    """
-    below = children(nodes)
-    roots = definition_roots(nodes)
+def _object_facts(nodes: DataFrame) -> DataFrame:
+    """Per object of a schema what it says of itself, and its reference."""
     member = lambda name, cond=F.lit(True): F.max((F.col("key") == name) & cond)
-    facts = below.where(~F.col("position")).groupBy("dataset", F.col("parent").alias("ptr")).agg(
+    return children(nodes).where(~F.col("position")).groupBy("dataset", F.col("parent").alias("ptr")).agg(
         member("type", (F.col("type") == "string") & (F.col("value") == "object")).alias("says_object"),
         member("properties").alias("has_properties"),
         member("properties", F.col("n_children") == 0).alias("no_properties"),
@@ -201,12 +209,14 @@ def object_like_definitions(nodes: DataFrame) -> DataFrame:
         member("patternProperties").alias("has_patterns"),
         F.max(F.when(F.col("key") == "$ref", F.col("value"))).alias("ref"),
     )
-    plain = facts.where(
-        "ref is null and says_object and (has_properties or has_additional or has_patterns) and not no_properties"
-    ).select("dataset", "ptr")
+
+
+def object_edges(nodes: DataFrame) -> DataFrame:
+    """(dataset, ptr, child): a node is an object if its child is, its reference's target or one of its branches."""
+    facts = _object_facts(nodes)
     by_ref = (
         facts.where("ref is not null")
-        .join(roots, "dataset")
+        .join(definition_roots(nodes), "dataset")
         .select("dataset", F.array("keyword", last_segment("ref")).alias("child"), "ptr")
     )
     grand = F.try_element_at(F.col("parent"), F.lit(-1))
@@ -214,14 +224,37 @@ def object_like_definitions(nodes: DataFrame) -> DataFrame:
         F.col("position"), F.struct(grand.alias("word"), F.slice("parent", 1, F.greatest(F.size("parent") - 1, F.lit(0))).alias("ptr"))
     ).otherwise(F.struct(F.col("key").alias("word"), F.col("parent").alias("ptr")))
     by_branch = (
-        below.where("type = 'object' and size(parent) > 0")
+        children(nodes).where("type = 'object' and size(parent) > 0")
         .withColumn("owner", branch)
         .where(F.col("owner.word").isin("oneOf", "anyOf", "allOf"))
         .select("dataset", F.col("ptr").alias("child"), F.col("owner.ptr").alias("ptr"))
         .join(facts.where("ref is not null").select("dataset", "ptr"), ["dataset", "ptr"], "left_anti")
         .select("dataset", "child", "ptr")
     )
-    edges = cut_lineage(by_ref.unionByName(by_branch).distinct())
+    return by_ref.unionByName(by_branch).distinct()
+
+
+def named_definitions(nodes: DataFrame) -> DataFrame:
+    """(dataset, ptr, name) of the definitions of each schema."""
+    return (
+        nodes.where("size(ptr) = 2")
+        .join(definition_roots(nodes), "dataset")
+        .where(F.try_element_at("ptr", F.lit(1)) == F.col("keyword"))
+        .select("dataset", "ptr", F.try_element_at("ptr", F.lit(2)).alias("name"))
+    )
+
+
+def object_like_definitions(nodes: DataFrame) -> DataFrame:
+    """(dataset, name) of definitions that describe an object with properties.
+
+    A node counts when it says so itself, or when its reference or one of its
+    ``oneOf/anyOf/allOf`` branches does.  The answer spreads from the plain nodes along these
+    edges, one join per round, until nothing new is reached; cycles add nothing.
+    """
+    plain = _object_facts(nodes).where(
+        "ref is null and says_object and (has_properties or has_additional or has_patterns) and not no_properties"
+    ).select("dataset", "ptr")
+    edges = cut_lineage(object_edges(nodes))
     reached = frontier = cut_lineage(plain)
     while not frontier.isEmpty():
         frontier = cut_lineage(
@@ -234,7 +267,7 @@ def object_like_definitions(nodes: DataFrame) -> DataFrame:
         reached = reached.unionByName(frontier)
     return (
         reached.where("size(ptr) = 2")
-        .join(roots, "dataset")
+        .join(definition_roots(nodes), "dataset")
         .where(F.try_element_at("ptr", F.lit(1)) == F.col("keyword"))
         .select("dataset", F.try_element_at("ptr", F.lit(2)).alias("name"))
     )

@@ -31,12 +31,16 @@ class MinedCorpus:
     truth: DataFrame
     properties: DataFrame
     summary: DataFrame
+    unexpanded: DataFrame
 
 
-def mine(lines: DataFrame, schemas: DataFrame, keep_pattern: bool = False) -> MinedCorpus:
+def mine(
+    lines: DataFrame, schemas: DataFrame, keep_pattern: bool = False, max_substitutions: int = schema_graph.MAX_SUBSTITUTIONS
+) -> MinedCorpus:
     """Profile the documents, derive which paths share a definition, and keep the rest as records.
 
-    A dataset leaves at the first stage that has nothing left for it; ``status`` names it.
+    A dataset leaves at the first stage that has nothing left for it; ``status`` names it.  ``unexpanded`` has the
+    nested references that ``max_substitutions`` left unresolved.
     """
     configure(lines.sparkSession)
     loaded, failed = split_loaded(schemas)
@@ -45,7 +49,8 @@ def mine(lines: DataFrame, schemas: DataFrame, keep_pattern: bool = False) -> Mi
     references = cut_lineage(
         schema_graph.definition_references(schema_graph.reference_paths(nodes, keep_pattern))
     )
-    expanded = schema_graph.strip_definition_keywords(schema_graph.expand_nested(references))
+    unrolled, unexpanded = schema_graph.expanded_and_left(references, max_substitutions)
+    expanded = schema_graph.strip_definition_keywords(unrolled)
     objects, not_objects = schema_graph.object_references(expanded, nodes)
     objects = cut_lineage(objects)
     # a pattern that can't be read costs its own dataset, not the corpus
@@ -96,7 +101,7 @@ def mine(lines: DataFrame, schemas: DataFrame, keep_pattern: bool = False) -> Mi
         )
         .unionByName(failed)
     )
-    return MinedCorpus(status, truth, properties, summary)
+    return MinedCorpus(status, truth, properties, summary, unexpanded)
 
 
 @dataclass
