@@ -235,21 +235,19 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 def _slice(found: spans.Texts, batch: pa.RecordBatch):
     """Distinct words of a slice with their training counts, and (document, word) cells with counts."""
     words = spans.runs(found, spans.NOT_SPACE)
-    hashes = spans.Hasher(found.data).of(words.start, words.end)
-    distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    texts = spans.cut_out(found, words.start[first], words.end[first]).view(pa.large_string())
+    which, _, distinct = spans.coded(found, words.start, words.end)
     training = ~batch.column("held_out").to_numpy(zero_copy_only=False)
     n_train = np.bincount(which, weights=training[words.row], minlength=len(distinct)).astype(np.int64)
     cell, count = np.unique(words.row * max(len(distinct), 1) + which, return_counts=True)
     row, word = np.divmod(cell, max(len(distinct), 1))
-    return batch.select(["doc_id", "held_out"]), distinct, texts, n_train, row, word, count, spans.count_rows(words.row, found.rows)
+    return batch.select(["doc_id", "held_out"]), distinct, n_train, row, word, count, spans.count_rows(words.row, found.rows)
 
 
 def _chunk(chunk: int, parts: list) -> Iterator[pa.RecordBatch]:
-    hashes = np.concatenate([p[1] for p in parts])
-    distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    n_train = np.bincount(which, weights=np.concatenate([p[3] for p in parts]), minlength=len(distinct))
-    texts = pa.chunked_array([p[2] for p in parts], pa.large_string()).take(pa.array(first))
+    coded = pa.concat_arrays([p[1] for p in parts]).dictionary_encode()
+    which, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    n_train = np.bincount(which, weights=np.concatenate([p[2] for p in parts]), minlength=len(distinct))
+    texts = distinct.view(pa.large_string())
     id_kind = parts[0][0].schema.field("doc_id").type
     names = ["doc_id", *(c.split(" ")[0] for c in _CHUNKS.split(", "))]
     kinds = [id_kind, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
@@ -260,12 +258,11 @@ def _chunk(chunk: int, parts: list) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(arrays, names)
 
     step = 50_000
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     for a in range(0, len(distinct), step):
         b = min(a + step, len(distinct))
         yield made(b - a, number=pa.array(np.arange(a, b)), word=texts[a:b], n_train=pa.array(n_train[a:b].astype(np.int64)))
     at = 0
-    for docs, own, _, _, row, word, count, n_words in parts:
+    for docs, own, _, row, word, count, n_words in parts:
         numbers = which[at : at + len(own)][word].astype("<u4")
         at += len(own)
         ends = np.searchsorted(row, np.arange(docs.num_rows + 1)).tolist()

@@ -46,8 +46,7 @@ def statistics(found: spans.Texts) -> dict[str, np.ndarray]:
     """What the rules look at, for each text."""
     rows, data, offsets = found.rows, found.data, found.offsets
     words = spans.runs(found, spans.NOT_SPACE)
-    hasher = spans.Hasher(data)
-    hashes = hasher.of(words.start, words.end)
+    codes = spans.coded(found, words.start, words.end)[0]
     inside = spans.NOT_SPACE[data]
 
     lines = spans.lines(found)
@@ -55,21 +54,21 @@ def statistics(found: spans.Texts) -> dict[str, np.ndarray]:
     np.cumsum(inside, out=filled[1:])
     worded = filled[lines.end] > filled[lines.start]
     line_row = lines.row[worded]
-    line_key = spans.keyed(hasher.of(lines.start[worded], lines.end[worded]), line_row)
-    _, first_line = np.unique(line_key, return_index=True)
+    line_codes = spans.coded(found, lines.start[worded], lines.end[worded])[0]
+    _, first_line = np.unique(spans.of_row(line_codes, line_row), return_index=True)
 
-    _, first_word = np.unique(spans.keyed(hashes, words.row), return_index=True)
+    _, first_word = np.unique(spans.of_row(codes, words.row), return_index=True)
     n_words, n_lines = spans.count_rows(words.row, rows), spans.count_rows(line_row, rows)
     marks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_SYMBOL[data], out=marks[1:])
-    same = np.zeros(len(hashes), bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (words.row[1:] == words.row[:-1])
+    same = np.zeros(len(codes), bool)
+    same[1:] = (codes[1:] == codes[:-1]) & (words.row[1:] == words.row[:-1])
     return {
         "n_words": n_words,
         "word_chars": spans.per_row(inside & ((data & 0xC0) != 0x80), offsets),
         "n_symbols": spans.per_row(_SYMBOL[data], offsets),
         "n_dup_lines": n_lines - spans.count_rows(line_row[first_line], rows),
-        "n_repeat_words": spans.count_rows(words.row[_repeated(hashes, words.row)], rows),
+        "n_repeat_words": spans.count_rows(words.row[_repeated(codes, words.row)], rows),
         "n_lines": n_lines,
         "n_upper": spans.per_row(_UPPER[data], offsets),
         "n_lower": spans.per_row(_LOWER[data], offsets),
@@ -80,12 +79,12 @@ def statistics(found: spans.Texts) -> dict[str, np.ndarray]:
     }
 
 
-def _repeated(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+def _repeated(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Whether each word lies in a window of eight words that its text holds twice or more."""
-    covered = np.zeros(len(hashes) + 1, np.int64)
-    window, owner = spans.grams(hashes, row, WINDOW)
+    covered = np.zeros(len(codes) + 1, np.int64)
+    window, owner = spans.gram_codes(codes, row, WINDOW)
     at = np.flatnonzero(owner >= 0)
-    _, group, count = np.unique(spans.keyed(window[at], owner[at]), return_inverse=True, return_counts=True)
+    _, group, count = np.unique(spans.of_row(window[at], owner[at]), return_inverse=True, return_counts=True)
     twice = at[count[group] > 1]
     covered[twice] += 1
     covered[twice + WINDOW] -= 1

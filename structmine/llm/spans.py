@@ -145,6 +145,44 @@ def lines(found: Texts) -> Spans:
     return Spans(start[by_start], end[by_end], rows[by_start])
 
 
+def coded(found: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers that tell spans apart by their bytes, the first span of each number, and the distinct spans.
+
+    The spans are in order and don't overlap; numbers follow their first place.
+    """
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, pa.array([], pa.large_binary())
+    ends = np.stack([start, end], axis=1).ravel().astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(found.data))])
+    made = (whole.take(pa.array(np.arange(0, len(ends) - 1, 2))) if len(ends) > 2 else whole).dictionary_encode()
+    which = made.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.full(len(made.dictionary), len(which))
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    return which, first, made.dictionary
+
+
+def gram_codes(codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and rows of every run of ``n`` coded words, as ``grams``: equal numbers are equal runs.
+
+    Pairs of numbers are numbered again, doubling what a number stands for.
+    """
+    if len(codes) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+    out, done, part, size = None, 0, codes, 1
+    while done < n:
+        if n & size:
+            out = part if out is None else joined(out[: len(codes) - done - size + 1], part[done : done + len(codes) - done - size + 1])
+            done += size
+        if done < n:
+            part, size = joined(part[:-size], part[size:]), size * 2
+    return out, np.where(row[: len(out)] == row[n - 1 :], row[: len(out)], -1)
+
+
 def grams(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every run of ``n`` words; the position is the first word's index.
 
@@ -166,6 +204,11 @@ def keyed(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(hashes + mix(row.astype(np.uint64) + np.uint64(1)))
 
 
+def of_row(codes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number per (row, code)."""
+    return row * (int(codes.max(initial=0)) + 1) + codes
+
+
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of a byte-wise array by text."""
     sums = np.zeros(len(flags) + 1, np.int64)

@@ -7,7 +7,7 @@ behind a line feed between two such characters, and between an ASCII letter and
 Texts are cut there, each distinct part of a slice is looked up once, and each distinct part a worker
 meets is encoded once by the library.  A text that holds a special token's string is encoded as a whole.
 
-Parts of a slice are told apart by a 64-bit hash and their length.
+Parts are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 
 from structmine.llm import spans
 
@@ -76,6 +77,10 @@ class Encoder:
         self._special = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
+        # a byte-level token is written with one character a byte; a special one stands in no part
+        vocabulary = self._library.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(max(self._library.get_vocab(with_added_tokens=True).values(), default=0) + 1, np.int64)
+        self._bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._break = self._library.encode("\n", add_special_tokens=False).ids
 
     def encode(self, found: spans.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -84,21 +89,14 @@ class Encoder:
         if any(s in raw for s in self._special):
             return self._one_by_one(found, raw)
         cut = parts(found)
-        _, first, which = np.unique(spans.Hasher(found.data).of(cut.start, cut.end), return_index=True, return_inverse=True)
-        size = cut.end - cut.start
-        if (size != size[first][which]).any():
-            return self._one_by_one(found, raw)
-        keys = [raw[a:b] for a, b in zip(cut.start[first].tolist(), cut.end[first].tolist())]
-        ids = self._learned(keys)
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        before = np.cumsum(n) - n
-        lengths = n[which]
-        ends = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=ends[1:])
-        place = np.repeat(before[which] - ends[:-1], lengths)
-        place += np.arange(len(place))
-        return flat[place], ends[np.searchsorted(cut.row, np.arange(found.rows + 1))]
+        which, _, distinct = spans.coded(found, cut.start, cut.end)
+        ids = self._learned(distinct.to_pylist())
+        ends = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=ends[1:])
+        values = np.frombuffer(b"".join(ids), "<u4")
+        taken = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(values)).take(pa.array(which))
+        at = np.searchsorted(cut.row, np.arange(found.rows + 1))
+        return taken.flatten().to_numpy(), taken.offsets.to_numpy()[at]
 
     def _one_by_one(self, found: spans.Texts, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         at = found.offsets.tolist()
@@ -121,15 +119,30 @@ class Encoder:
         return found
 
     def _learn(self, missing: list[bytes]) -> None:
-        joined, alone = [], []
+        spaced, joined, alone = [], [], []
         for key in missing:
             text = key.decode()
+            first = text[0] == " "
             # white space inside a part, but for one space in front, needs the part alone
-            (joined if text.split() == [text[text[0] == " " :]] else alone).append((key, text))
+            (alone if text.split() != [text[first:]] else spaced if first else joined).append((key, text))
+        for i in range(0, len(spaced), TOGETHER):
+            self._side_by_side(spaced[i : i + TOGETHER])
         for i in range(0, len(joined), TOGETHER):
             self._together(joined[i : i + TOGETHER])
         self._known.update(zip((k for k, _ in alone), (x.tobytes() for x in self._whole([t for _, t in alone]))))
 
+    def _side_by_side(self, group: list[tuple[bytes, str]]) -> None:
+        """Encodes parts with a space in front as one text, where every part begins a token; the tokens' bytes tell which."""
+        ids = self._whole(["".join(t for _, t in group)])[0]
+        reached = np.cumsum(self._bytes[ids])
+        limits = np.cumsum([len(k) for k, _ in group])
+        last = np.searchsorted(reached, limits)
+        if not len(reached) or reached[-1] != limits[-1] or (reached[last] != limits).any():
+            self._together(group)
+            return
+        raw, ends = ids.tobytes(), (4 * (last + 1)).tolist()
+        self._known.update(zip((k for k, _ in group), (raw[a:b] for a, b in zip([0, *ends], ends))))
+
     def _together(self, group: list[tuple[bytes, str]]) -> None:
         """Encodes parts as lines of one text; a line feed is a token of its own there."""
         ids = self._whole(["\n".join(t for _, t in group)])[0]

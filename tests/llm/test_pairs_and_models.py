@@ -12,7 +12,7 @@ import pytest
 
 from structmine.llm import components, decontaminate, lattice_lm, near_dedup
 
-from .conftest import EDGES
+from .conftest import EDGES, MORSE, TWIN
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -240,6 +240,14 @@ def test_lattice_by_brute_force():
     assert abs((used * known.lengths).sum() - sum(len(t.encode()) + 1 for t in [*texts, long])) < 1e-6
 
 
+def test_words_of_equal_hashes_are_counted_apart(documents):
+    docs = documents([(1, f"{MORSE} {TWIN} {MORSE}"), (3, TWIN)])
+    counted = Counter()
+    for r in lattice_lm.chunked(docs).where("word is not null").collect():
+        counted[r["word"]] += r["n_train"]
+    assert counted == {MORSE: 2, TWIN: 2}
+
+
 def test_language_model(documents):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["The", "river", "runs", "été", "fast"]) for _ in range(20 + i))) for i in range(40)]

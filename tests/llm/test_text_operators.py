@@ -10,7 +10,7 @@ import pytest
 
 from structmine.llm import licence_scan, ordinal, quality_classifier, quality_rules, spans, toxicity
 
-from .conftest import EDGES
+from .conftest import EDGES, MORSE, TWIN
 
 RANDOM = random.Random(5)
 WORDS = ["the", "of", "river", "stone", "Winter", "light,", "walks", "home.", "été", "grün", "many", "birds"]
@@ -93,6 +93,7 @@ def brute_statistics(text):
 def test_rule_statistics_by_brute_force():
     texts = [t for _, t in EDGES[:4]] + ["".join(RANDOM.choice("ab\n \t#é|\x1c日") for _ in range(n)) for n in range(0, 300, 7)]
     texts += [" ".join(RANDOM.choice("abc") for _ in range(n)) for n in (7, 8, 9, 40, 90)]
+    texts += [f"{MORSE}\n{TWIN}\n{MORSE}", " ".join([*"abcdefg", MORSE, *"abcdefg", TWIN] * 2), f"{MORSE} {TWIN}"]
     found = quality_rules.statistics(spans.texts(pa.array(texts)))
     got = [[int(found[s][i]) for s in quality_rules.STATISTICS[:5]] for i in range(len(texts))]
     assert got == [brute_statistics(t) for t in texts]

@@ -13,7 +13,7 @@ import pytest
 
 from structmine.llm import packing, spans, token_ids, token_store, warc_source
 
-from .conftest import EDGES
+from .conftest import EDGES, MORSE, TWIN
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,7 +29,7 @@ def test_parts_encode_as_the_whole():
     rng = random.Random(3)
     letters = [*"ab's\n\t   é1٣.,'!;:?<|>\x1c\x85 　 漢Z", "  ", "'re", "\r\n", " \n", "\n\n", "don't. "]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 40))) for _ in range(4000)]
-    texts += ["a <|endoftext|> b", "", " ", "\n", *[t or "" for _, t in EDGES]]
+    texts += ["a <|endoftext|> b", "", " ", "\n", *[t or "" for _, t in EDGES], MORSE, TWIN, f"{TWIN} {MORSE}"]
     coder = token_ids.Encoder(TOKENIZER)
     for a in range(0, len(texts), 200):
         ids, ends = coder.encode(spans.texts(pa.array(texts[a : a + 200])))
@@ -37,7 +37,7 @@ def test_parts_encode_as_the_whole():
 
 
 def test_token_store(documents, spark, tmp_path):
-    rows = [(i * 7 % 101, f"text {i} " * (i % 13)) for i in range(101)] + [(200 + (d or 9), t) for d, t in EDGES if d != 4]
+    rows = [(i * 7 % 101, f"text {i} " * (i % 13)) for i in range(101)] + [(200 + (d or 9), t) for d, t in EDGES if d != 4] + [(300, MORSE), (301, TWIN)]
     token_store.write(documents(rows), str(tmp_path / "t"), TOKENIZER, 2, shard_bytes=20_000)
     stored = token_store.read(spark, str(tmp_path / "t"))
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.digests(stored).collect()}
