@@ -7,20 +7,22 @@ each labelled by how often it stood before in the document (a document of fewer
 2. Order MinHash: each of ``SKETCHES`` hash functions takes the ``TAKEN`` smallest labelled k-mers and keeps
    them in text order.  Two documents share a sketch with about the ``TAKEN``-th power of their similarity.
    Documents of few k-mers (``SHORT``) have further sketches of ``FEW`` k-mers: there, one k-mer more changes
-   nearly every sketch of five.
+   nearly every sketch of four.
 3. Documents that share a sketch are compared: all of them where a group is small.  Larger groups are
    compared with their most central document, and also split by the following sketches and the parts
    compared in the same way; families of large groups whose documents are then in different classes are
    compared in blocks of bounded size, those outside a family's largest class with all.  So no pair of a
    group is left out but those already in one class, and a large group of copies costs a few comparisons
    a document.
-4. Verification aligns the labelled k-mers of two documents in order, within a band around the diagonal:
-   the longest chain of equal k-mers, over all k-mers of both less the chain, is to be 0.8 or more.  With
-   no part moved this is the Jaccard similarity of their shingles.
+4. Verification aligns two documents within a band around the diagonal.  The longest chain of equal k-mers in
+   order anchors the alignment; the words between anchors are aligned by edit distance.  Documents are alike
+   where at most a tenth of the longer one's words are edited (``EDITS``), or where the chain is 0.8 or more of
+   all k-mers of both less the chain, which with no part moved is the Jaccard similarity of their shingles.
 5. Classes are the connected components of the links.
 
-At a similarity of 0.8 two documents share no group in at most one case of 10,000 (28 sketches of five, and
-28 of two where both are short).
+At a shingle similarity of 0.8 two documents share no group in less than one case of 100,000 (28 sketches of
+four, and 28 of two where both are short), at 0.6 in two of 100, at 0.5 in 16 of 100.  One edited word changes
+five shingles, so edits spread over a whole text bring a tenth of edited words down to 0.4 and a twentieth to 0.63.
 
 Edge cases: a null text is empty; texts without a word are only in a class with equal texts; rows with a
 null id are in no class and are kept; rows with equal id and text are one document; an empty table gives
@@ -44,8 +46,10 @@ from structmine.llm.shared import kept
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Edits, as a share of the longer document's words, up to which documents are alike.
+EDITS = 0.1
 SKETCHES = 28
-TAKEN = 5
+TAKEN = 4
 #: Documents of so many labelled k-mers have as many sketches again, of ``FEW`` of them; with fewer, only equal lists are alike.
 SHORT = (4, 20)
 FEW = 2
@@ -117,28 +121,94 @@ def _sketches(kmers: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def chain(first: np.ndarray, second: np.ndarray, band: float = BAND) -> int:
-    """Length of the longest chain of equal elements in order, within the band; elements are distinct."""
+def _anchors(first: np.ndarray, second: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the longest chain of equal elements in order, within the band; elements are distinct."""
     _, i, j = np.intersect1d(first, second, assume_unique=True, return_indices=True)
     order = np.argsort(i)
     i, j = i[order], j[order]
-    width = band * max(len(first), len(second))
-    j = j[np.abs(i - j) <= width]
+    inside = np.abs(i - j) <= band * max(len(first), len(second))
+    i, j = i[inside], j[inside]
     if len(j) < 2 or (np.diff(j) > 0).all():
-        return len(j)
+        return i, j
     ends: list[int] = []
-    for x in j.tolist():
+    last: list[int] = []
+    before = []
+    for k, x in enumerate(j.tolist()):
         at = bisect_left(ends, x)
+        before.append(last[at - 1] if at else -1)
         ends[at : at + 1] = [x]
-    return len(ends)
+        last[at : at + 1] = [k]
+    picked, k = [], last[-1]
+    while k >= 0:
+        picked.append(k)
+        k = before[k]
+    picked = np.array(picked[::-1])
+    return i[picked], j[picked]
+
+
+def chain(first: np.ndarray, second: np.ndarray, band: float = BAND) -> int:
+    """Length of the longest chain of equal elements in order, within the band; elements are distinct."""
+    return len(_anchors(first, second, band)[0])
 
 
-def similarity(first: np.ndarray, second: np.ndarray) -> float:
-    """Of two documents' labelled k-mers; 0 where one has none."""
+def _edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Words inserted, left out or replaced between two stretches."""
+    if not len(a) or not len(b) or len(a) == len(b) == 1:
+        return max(len(a), len(b))
+    places = np.arange(len(b) + 1)
+    row = places
+    for x in a:
+        best = np.empty_like(row)
+        best[0] = row[0] + 1
+        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        row = np.minimum.accumulate(best - places) + places
+    return int(row[-1])
+
+
+def edit_similarity(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray, most: float = EDITS) -> float:
+    """The share of words an alignment through the anchors leaves as they are; 0 beyond ``most`` edits.
+
+    An anchor is a k-mer that starts at word ``i`` of one text and word ``j`` of the other.
+    """
+    longer = max(len(one), len(two))
+    allowed, spent, at, to = int(most * longer), 0, 0, 0
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)])) if len(i) else np.zeros(0, np.int64)
+    blocks = list(zip(i[new].tolist(), j[new].tolist(), i[np.append(new[1:], len(i)) - 1].tolist())) if len(i) else []
+    for a, b, a_last in [*blocks, (len(one), len(two), len(one) - WORDS)]:
+        # anchors may share words with those before
+        late = max(at - a, to - b, 0)
+        end = a_last + WORDS
+        if a + late > end:
+            continue
+        gap = one[at : a + late], two[to : b + late]
+        # a stretch without a common k-mer takes an edit in every k-mer
+        if spent + max(abs(len(gap[0]) - len(gap[1])), (max(map(len, gap)) - WORDS + 1) // WORDS) > allowed:
+            return 0.0
+        spent += _edits(*gap)
+        if spent > allowed:
+            return 0.0
+        at, to = end, b + end - a
+    return 1 - spent / longer
+
+
+def _possible(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether documents of ``n`` and ``m`` k-mers can be alike with ``shared`` in common: an edit changes ``WORDS`` k-mers."""
+    longer = np.maximum(n, m)
+    by_edits = shared >= np.maximum(longer - WORDS * np.floor(EDITS * (longer + WORDS - 1)), 1)
+    return by_edits | (shared >= SIMILARITY * (n + m - shared))
+
+
+def similarity(one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray) -> float:
+    """Of two documents' words and labelled k-mers: of their shingles or their words, whichever makes them alike, else 0."""
     if not len(first) or not len(second):
         return 0.0
-    shared = chain(first, second)
-    return shared / (len(first) + len(second) - shared)
+    i, j = _anchors(first, second, BAND)
+    shared = len(i)
+    if shared >= SIMILARITY * (len(first) + len(second) - shared):
+        return shared / (len(first) + len(second) - shared)
+    if min(len(one), len(two)) < WORDS or not _possible(shared, len(first), len(second)):
+        return 0.0
+    return edit_similarity(one, two, i, j)
 
 
 # -- tables ----------------------------------------------------------------------------------------
@@ -220,9 +290,10 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return small.unionByName(to_hub).distinct(), large.select("doc", "n", F.col("hub.doc").alias("hub")).distinct()
 
 
-def _kmers(words: bytes) -> np.ndarray:
+def _kmers(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A document's words and its labelled k-mers."""
     hashes = np.frombuffer(words, "<u4").astype(np.uint64)
-    return labelled(hashes, np.zeros(len(hashes), np.int64))[0]
+    return hashes, labelled(hashes, np.zeros(len(hashes), np.int64))[0]
 
 
 def words_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -245,20 +316,21 @@ def words_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return kept(found.dropDuplicates(["doc"]).drop("text_key"), "words")
 
 
-def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc1, doc2, similarity`` of the pairs whose alignment reaches ``least``."""
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``doc1, doc2, similarity`` of the pairs that their alignment shows to be alike."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kmers = None, np.zeros(0, np.uint64)
+        last, known = None, (np.zeros(0, np.uint64),) * 2
         for batch in batches:
             values = []
             for one, two, other in zip(batch.column("doc2").to_pylist(), batch.column("words1"), batch.column("words2")):
                 if one != last:
-                    last, kmers = one, _kmers(other.as_py())
-                values.append(similarity(_kmers(two.as_py()), kmers))
+                    last, known = one, _kmers(other.as_py())
+                text, kmers = _kmers(two.as_py())
+                values.append(similarity(text, known[0], kmers, known[1]))
             found = pa.array(values, pa.float64())
             batch = pa.RecordBatch.from_arrays([batch.column("doc1"), batch.column("doc2"), found], ["doc1", "doc2", "similarity"])
-            yield batch.filter(pc.greater_equal(found, least))
+            yield batch.filter(pc.greater(found, 0))
 
     kind = words.schema["doc"].dataType.simpleString()
     both = pairs.join(words.toDF("doc1", "words1"), "doc1").join(words.toDF("doc2", "words2"), "doc2")
@@ -325,7 +397,7 @@ def _apart(large: DataFrame, found: DataFrame) -> DataFrame:
     return kept(placed.join(blocks, "family").withColumn("stray", F.col("part") != F.col("main")), "apart")
 
 
-def _between(apart: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def _between(apart: DataFrame, words: DataFrame) -> DataFrame:
     """Links between classes of a family: blocks of strays against blocks of all."""
     kind = words.schema["doc"].dataType.simpleString()
     block = lambda salt, n: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n)).cast("int")
@@ -340,7 +412,7 @@ def _between(apart: DataFrame, words: DataFrame, least: float = SIMILARITY) -> D
     def compare(block: pa.Table) -> pa.Table:
         doc, part = block.column("doc").to_numpy(), block.column("part").to_numpy()
         stray = block.column("stray").to_numpy()
-        kmers = [_kmers(x.as_py()) for x in block.column("words")]
+        texts, kmers = zip(*(_kmers(x.as_py()) for x in block.column("words")))
         own, rest = np.flatnonzero(stray), np.flatnonzero(~stray)
         pool = np.concatenate([np.zeros(0, np.uint64), *(kmers[i] for i in own)])
         owner = np.repeat(np.arange(len(own)), [len(kmers[i]) for i in own])
@@ -354,10 +426,10 @@ def _between(apart: DataFrame, words: DataFrame, least: float = SIMILARITY) -> D
             at = np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             shared = np.bincount(owner[at], minlength=len(own))
             # more k-mers in common than a chain can have
-            near = shared >= least * (size + len(kmers[i]) - shared)
+            near = _possible(shared, size, np.full(len(size), len(kmers[i])))
             near &= (part[own] != part[i]) & (shared > 0)
             for j in own[near]:
-                if (value := similarity(kmers[j], kmers[i])) >= least:
+                if value := similarity(texts[j], texts[i], kmers[j], kmers[i]):
                     out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), value))
         arrow = block.schema.field("doc").type
         columns = zip(*out) if out else ((), (), ())
