@@ -7,7 +7,7 @@ each labelled by how often it stood before in the document (a document of fewer
 2. Order MinHash: each of ``SKETCHES`` hash functions takes the ``TAKEN`` smallest labelled k-mers and keeps
    them in text order.  Two documents share a sketch with about the ``TAKEN``-th power of their similarity.
    Documents of few k-mers (``SHORT``) have further sketches of ``FEW`` k-mers: there, one k-mer more changes
-   nearly every sketch of four.
+   nearly every sketch of five.
 3. Documents that share a sketch are compared: all of them where a group is small.  Larger groups are
    compared with their most central document, and also split by the following sketches and the parts
    compared in the same way; families of large groups whose documents are then in different classes are
@@ -20,9 +20,11 @@ each labelled by how often it stood before in the document (a document of fewer
    all k-mers of both less the chain, which with no part moved is the Jaccard similarity of their shingles.
 5. Classes are the connected components of the links.
 
-At a shingle similarity of 0.8 two documents share no group in less than one case of 100,000 (28 sketches of
-four, and 28 of two where both are short), at 0.6 in two of 100, at 0.5 in 16 of 100.  One edited word changes
-five shingles, so edits spread over a whole text bring a tenth of edited words down to 0.4 and a twentieth to 0.63.
+At a shingle similarity of 0.8 two documents share no group in at most one case of 10,000 (28 sketches of
+five, and 28 of two where both are short), at 0.7 in one of 170, at 0.63 in 5 of 100, at 0.5 in 41 of 100.  One edited
+word changes five shingles, so a twentieth of words edited all over a text leaves 0.63, and fewer edits leave more.
+Between the classes of a large family only shingles are compared (step 3 is whole for them): there, documents
+that are alike by edits alone are found by their central documents and small groups.
 
 Edge cases: a null text is empty; texts without a word are only in a class with equal texts; rows with a
 null id are in no class and are kept; rows with equal id and text are one document; an empty table gives
@@ -49,7 +51,7 @@ SIMILARITY = 0.8
 #: Edits, as a share of the longer document's words, up to which documents are alike.
 EDITS = 0.1
 SKETCHES = 28
-TAKEN = 4
+TAKEN = 5
 #: Documents of so many labelled k-mers have as many sketches again, of ``FEW`` of them; with fewer, only equal lists are alike.
 SHORT = (4, 20)
 FEW = 2
@@ -191,13 +193,6 @@ def edit_similarity(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarr
     return 1 - spent / longer
 
 
-def _possible(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether documents of ``n`` and ``m`` k-mers can be alike with ``shared`` in common: an edit changes ``WORDS`` k-mers."""
-    longer = np.maximum(n, m)
-    by_edits = shared >= np.maximum(longer - WORDS * np.floor(EDITS * (longer + WORDS - 1)), 1)
-    return by_edits | (shared >= SIMILARITY * (n + m - shared))
-
-
 def similarity(one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray) -> float:
     """Of two documents' words and labelled k-mers: of their shingles or their words, whichever makes them alike, else 0."""
     if not len(first) or not len(second):
@@ -206,7 +201,9 @@ def similarity(one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.n
     shared = len(i)
     if shared >= SIMILARITY * (len(first) + len(second) - shared):
         return shared / (len(first) + len(second) - shared)
-    if min(len(one), len(two)) < WORDS or not _possible(shared, len(first), len(second)):
+    longer = max(len(one), len(two))
+    # an edit changes ``WORDS`` k-mers at most
+    if min(len(one), len(two)) < WORDS or shared < max(1, longer - WORDS + 1 - WORDS * int(EDITS * longer)):
         return 0.0
     return edit_similarity(one, two, i, j)
 
@@ -412,7 +409,7 @@ def _between(apart: DataFrame, words: DataFrame) -> DataFrame:
     def compare(block: pa.Table) -> pa.Table:
         doc, part = block.column("doc").to_numpy(), block.column("part").to_numpy()
         stray = block.column("stray").to_numpy()
-        texts, kmers = zip(*(_kmers(x.as_py()) for x in block.column("words")))
+        kmers = [_kmers(x.as_py())[1] for x in block.column("words")]
         own, rest = np.flatnonzero(stray), np.flatnonzero(~stray)
         pool = np.concatenate([np.zeros(0, np.uint64), *(kmers[i] for i in own)])
         owner = np.repeat(np.arange(len(own)), [len(kmers[i]) for i in own])
@@ -426,10 +423,12 @@ def _between(apart: DataFrame, words: DataFrame) -> DataFrame:
             at = np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             shared = np.bincount(owner[at], minlength=len(own))
             # more k-mers in common than a chain can have
-            near = _possible(shared, size, np.full(len(size), len(kmers[i])))
+            near = shared >= SIMILARITY * (size + len(kmers[i]) - shared)
             near &= (part[own] != part[i]) & (shared > 0)
             for j in own[near]:
-                if value := similarity(texts[j], texts[i], kmers[j], kmers[i]):
+                common = chain(kmers[j], kmers[i])
+                value = common / (size[j] + len(kmers[i]) - common)
+                if value >= SIMILARITY:
                     out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), value))
         arrow = block.schema.field("doc").type
         columns = zip(*out) if out else ((), (), ())
