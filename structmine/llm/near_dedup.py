@@ -427,7 +427,7 @@ def _between(apart: DataFrame, words: DataFrame) -> DataFrame:
             near &= (part[own] != part[i]) & (shared > 0)
             for j in own[near]:
                 common = chain(kmers[j], kmers[i])
-                value = common / (size[j] + len(kmers[i]) - common)
+                value = common / (len(kmers[j]) + len(kmers[i]) - common)
                 if value >= SIMILARITY:
                     out.append((min(doc[i], doc[j]), max(doc[i], doc[j]), value))
         arrow = block.schema.field("doc").type
