@@ -3,11 +3,17 @@
 Reading plans one partition for every ``partition_bytes`` of files.  Equality and membership predicates
 on ``record_type`` and the other header columns are pushed down; a record's headers are parsed first
 and its block is read only where they pass and the schema asked for has ``payload``.  In compressed
-archives every record is a gzip member of its own whose header names its length (subfield ``sl``), so a
-block that isn't wanted is neither decompressed nor read; members without that field are read through.
+archives every record is a gzip member of its own whose header names its length (subfield ``sl``), so of a
+record that isn't wanted no more than its headers are decompressed, ``STEP_BYTES`` at a time; members without
+that field are read through.  An archive is read by one task, so archives should be of ordinary size (a GB).
 
-Writing makes one archive for about ``file_bytes`` of records in each task; a file gets its name when the
-job commits, so a lost or repeated task leaves nothing behind.
+A block is an HTTP message where its content type says so, or where it has none and the record is a request,
+response or revisit; the payload is what follows the HTTP head, however long that is (nothing where the head
+doesn't end).  Every other block is the payload as it stands.  ``payload_length`` counts the payload in the
+record; for a revisit, which leaves it out, it is what the HTTP head says, or null.
+
+Writing makes one archive for about ``file_bytes`` of records in each task, in a folder of the job's own;
+files move to their place when the job commits and the folder goes then, or when the job is given up.
 
 ``dedupe`` says which records repeat a payload.  Edge cases: a null payload is empty; a null URL has no
 header; line breaks in a URL are percent-encoded; records of equal ids are written each; an empty table
@@ -53,7 +59,8 @@ HEADERS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
-HEAD_BYTES = 64 * 1024
+READ_BYTES = 64 * 1024
+STEP_BYTES = 1024
 BATCH_BYTES = 8 * 1024 * 1024
 
 
@@ -114,38 +121,40 @@ def parse_head(head: bytes) -> tuple[dict[str, str], int]:
 
 
 class _Compressed:
-    """Records of an archive of gzip members, from a seekable file."""
+    """Records of an archive of gzip members, from a seekable file; ``decoded`` counts decompressed bytes."""
 
     def __init__(self, file, size: int):
-        self.file, self.size, self.at = file, size, 0
+        self.file, self.size, self.at, self.decoded = file, size, 0, 0
 
     def heads(self) -> Iterator[tuple[dict[str, str], int]]:
         while self.at < self.size:
             self.file.seek(self.at)
-            self.raw = self.file.read(min(HEAD_BYTES, self.size - self.at))
-            self.length = _member_size(self.raw)
-            self.unzip = zlib.decompressobj(31)
-            self.plain = self.unzip.decompress(self.raw, HEAD_BYTES)
+            self.raw = self.file.read(min(READ_BYTES, self.size - self.at))
+            length = _member_size(self.raw)
+            self.unzip, self.plain = zlib.decompressobj(31), bytearray()
             while b"\r\n\r\n" not in self.plain and not self.unzip.eof:
-                self._more(HEAD_BYTES)
+                self.plain += self._more(STEP_BYTES)
             yield parse_head(self.plain)
-            if self.length is None:
+            if length is None:
                 while not self.unzip.eof:  # how long the member is shows only at its end
-                    self._more(0)
+                    self._more(READ_BYTES)
                 self.at = self.file.tell() - len(self.unzip.unused_data)
             else:
-                self.at += self.length
-
-    def _more(self, most: int) -> None:
-        raw = self.unzip.unconsumed_tail or self.file.read(HEAD_BYTES)
-        if not raw:
+                self.at += length
+
+    def _more(self, most: int) -> bytes:
+        raw = self.raw or self.file.read(READ_BYTES)
+        out = self.unzip.decompress(raw, most)
+        self.raw = self.unzip.unconsumed_tail
+        self.decoded += len(out)
+        if not raw and not out and not self.unzip.eof:
             raise ValueError("a gzip member breaks off")
-        self.plain += self.unzip.decompress(raw, most)
+        return out
 
     def block(self, start: int, length: int) -> bytes:
-        while len(self.plain) < start + length and not self.unzip.eof:
-            self._more(0)
-        return self.plain[start : start + length]
+        while (missing := start + length - len(self.plain)) > 0 and not self.unzip.eof:
+            self.plain += self._more(missing)
+        return bytes(self.plain[start : start + length])
 
 
 class _Plain:
@@ -157,11 +166,10 @@ class _Plain:
     def heads(self) -> Iterator[tuple[dict[str, str], int]]:
         while self.at < self.size:
             self.file.seek(self.at)
-            head = self.file.read(HEAD_BYTES)
-            while b"\r\n\r\n" not in head and (more := self.file.read(HEAD_BYTES)):
+            head = bytearray()
+            while b"\r\n\r\n" not in head and (more := self.file.read(STEP_BYTES)):
                 head += more
             headers, start = parse_head(head)
-            self.head = head
             yield headers, start
             self.at += start + int(headers.get("content-length", 0)) + 4
 
@@ -235,12 +243,14 @@ class WarcReader(DataSourceReader):
             if any(row[c] not in values for c, values in self.wanted.items()):
                 continue
             if body:
-                # an HTTP head fits the first bytes; the body is read only where it is asked for
                 all_of = int(headers.get("content-length", 0))
-                block = archive.block(start, all_of if "payload" in self.columns else min(all_of, HEAD_BYTES // 4))
-                http, _, payload = block.partition(b"\r\n\r\n")
-                row["payload_length"] = _http_length(http)
-                row["payload"] = None if row["record_type"] == "revisit" else payload
+                head = _http_head(archive, start, all_of) if _is_http(headers) else b""
+                if row["record_type"] == "revisit":
+                    row["payload_length"], row["payload"] = _http_length(head), None
+                else:
+                    row["payload_length"] = all_of - len(head)
+                    if "payload" in self.columns:
+                        row["payload"] = archive.block(start, all_of)[len(head) :]
             yield {c: row.get(c) for c in self.columns}
 
 
@@ -252,10 +262,31 @@ def _header_value(column: str, value: str | None) -> str | None:
     return value.removeprefix("<").removesuffix(">") if column in ("record_id", "refers_to") else value
 
 
+def _is_http(headers: dict[str, str]) -> bool:
+    kind = headers.get("content-type")
+    if kind is None:
+        return headers.get("warc-type") in ("request", "response", "revisit")
+    return kind.lower().startswith("application/http")
+
+
+def _http_head(archive, start: int, length: int) -> bytes:
+    """The block up to its first empty line, all of it where there is none; read in growing steps."""
+    have = 0
+    while have < length:
+        have = min(length, max(STEP_BYTES, 2 * have))
+        block = archive.block(start, have)
+        end = block.find(b"\r\n\r\n")
+        if end >= 0:
+            return block[: end + 4]
+        if len(block) < have:
+            break
+    return archive.block(start, have)
+
+
 def _http_length(head: bytes) -> int | None:
     for line in head.split(b"\r\n"):
         name, _, value = line.partition(b":")
-        if name.strip().lower() == b"content-length":
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
             return int(value)
     return None
 
@@ -271,19 +302,20 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
+        self.staging = f"_staging-{uuid.uuid4().hex}"
         self.file_bytes = int(options.get("file_bytes", 64 * 1024 * 1024))
         self.compressed = options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator) -> Written:
         store, root = _filesystem(self.path)
-        store.create_dir(root, recursive=True)
+        store.create_dir(f"{root}/{self.staging}", recursive=True)
         files, out, room = [], None, 0
         for row in iterator:
             if out is None or room <= 0:
                 if out is not None:
                     out.close()
                 files.append(f"{uuid.uuid4().hex}.warc{'.gz' if self.compressed else ''}")
-                out, room = store.open_output_stream(f"{root}/{files[-1]}.part", compression=None), self.file_bytes
+                out, room = store.open_output_stream(f"{root}/{self.staging}/{files[-1]}.part", compression=None), self.file_bytes
             data = record_bytes(row)
             data = member(data) if self.compressed else data
             out.write(data)
@@ -295,12 +327,14 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         store, root = _filesystem(self.path)
         for name in (f for m in messages if m is not None for f in m.files):
-            store.move(f"{root}/{name}.part", f"{root}/{name}")
+            store.move(f"{root}/{self.staging}/{name}.part", f"{root}/{name}")
+        self.abort(messages)
 
     def abort(self, messages) -> None:
+        """What failed, repeated and given up tasks wrote goes with the job's folder."""
         store, root = _filesystem(self.path)
-        for name in (f for m in messages if m is not None for f in m.files):
-            store.delete_file(f"{root}/{name}.part")
+        if store.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.staging}")
 
 
 class WarcSource(DataSource):

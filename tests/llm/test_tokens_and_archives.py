@@ -165,3 +165,60 @@ def test_archives_edges(spark, tmp_path):
     warc_source.write(warc_source.dedupe(none), str(tmp_path / "w"))
     assert warc_source.read(spark, str(tmp_path / "w")).count() == 0
     assert warc_source.read(spark, str(tmp_path / "not there")).count() == 0
+
+
+def archive_record(kind, block, content_type=None):
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x>", *([f"Content-Type: {content_type}"] if content_type else [])]
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("suffix", ["warc", "warc.gz"])
+def test_payloads_of_all_record_types(tmp_path, suffix):
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"x" * 40_000 + b"\r\nContent-Length: 5\r\n\r\n"
+    records = [
+        (archive_record("conversion", b"hello world", "text/plain"), 11, b"hello world"),
+        (archive_record("resource", b"a\r\n\r\nb"), 6, b"a\r\n\r\nb"),
+        (archive_record("warcinfo", b"", "application/warc-fields"), 0, b""),
+        (archive_record("response", http + b"12345", "application/http; msgtype=response"), 5, b"12345"),
+        (archive_record("response", b"dns: 1.2.3.4", "text/dns"), 12, b"dns: 1.2.3.4"),
+        (archive_record("response", b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 9), 9, b"z" * 9),
+        (archive_record("response", b"HTTP/1.1 200 OK\r\n", "application/http"), 0, b""),
+        (archive_record("revisit", http, "application/http"), 5, None),
+        (archive_record("revisit", b"", "application/http"), None, None),
+    ]
+    pack = (lambda r: r) if suffix == "warc" else warc_source.member
+    (tmp_path / f"a.{suffix}").write_bytes(b"".join(pack(r) for r, _, _ in records))
+    for columns in (["payload_length", "payload"], ["payload_length"], ["payload"]):
+        reader = warc_source.WarcReader({"path": str(tmp_path)}, columns)
+        found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        want = [{"payload_length": n, "payload": p} for _, n, p in records]
+        assert found == [{c: w[c] for c in columns} for w in want]
+
+
+def test_unwanted_payloads_are_not_decoded(tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"page " * 7_000
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(warc_source.member(archive_record("response", block, "application/http")) for _ in range(20)))
+    with open(path, "rb") as file:
+        archive = warc_source._Compressed(file, path.stat().st_size)
+        assert sum(1 for _ in archive.heads()) == 20
+        assert archive.decoded <= 20 * warc_source.STEP_BYTES
+
+
+def test_given_up_writes_leave_nothing(tmp_path):
+    row = {"record_type": "response", "payload": b"p", "payload_length": 1, "payload_digest": "00" * 20}
+    row |= {"record_id": "urn:page:1", "date": None, "target_uri": "u", "refers_to": None}
+
+    def breaks():
+        yield row
+        raise RuntimeError("lost")
+
+    writer = warc_source.WarcWriter({"path": str(tmp_path)})
+    done = writer.write(iter([row]))
+    with pytest.raises(RuntimeError):
+        writer.write(breaks())
+    writer.abort([done, None])
+    assert list(tmp_path.iterdir()) == []
+    again = warc_source.WarcWriter({"path": str(tmp_path)})
+    again.commit([again.write(iter([row])), again.write(iter([]))])
+    assert [f.suffix for f in tmp_path.iterdir()] == [".gz"]
