@@ -33,7 +33,7 @@ from structmine.operators import (
     schema_graph,
 )
 from structmine.plans import mining
-from structmine.session import configure, cut_lineage
+from structmine.session import configure, cut_lineage, shared_folder
 from structmine.sources import corpus, results
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -327,6 +327,42 @@ def evaluation_rows(spark, folder):
     return results.evaluation_rows(cluster_scores(spark, folder), corpus_average(spark, folder))
 
 
+def evaluation_clusters(spark, folder):
+    """The clusters behind the scores, from the files they are written to."""
+    out = shared_folder(spark, "evaluation-clusters")
+    done = _evaluated(spark, folder)
+    results.write_evaluation_clusters(_mined(spark, folder).truth, done.clusters, done.scores, out)
+    found = results.read_evaluation_clusters(spark, out)
+    smallest = F.array_join(F.from_json("cluster", "array<string>"), ".")
+    named = F.when(F.col("kind") == "predicted", smallest).otherwise(F.col("cluster"))
+    return _shown(found.withColumn("cluster", named), "path")
+
+
+def clean_schemas(spark, folder):
+    """Schemas of valid datasets, from the files they are written to."""
+    out = shared_folder(spark, "clean-schemas")
+    corpus.write_schemas(_schemas(spark, folder), corpus_validation(spark, folder), out)
+    return corpus.read_clean(spark, out, "schema").select("dataset", "schema")
+
+
+def matched_files(spark, folder):
+    """Matching documents of every third dataset, from the files they are written to."""
+    out = shared_folder(spark, "matched-documents")
+    third = F.regexp_extract("dataset", r"-(\d+)", 1).cast("long") % 3 == 0
+    split = _loaded(spark, folder).select("dataset", F.when(third, "test").otherwise("train").alias("split"))
+    corpus.write_matched_documents(_lines(spark, folder), _loaded(spark, folder), split, out)
+    return _ids(corpus.read_clean(spark, out, "doc"))
+
+
+def pair_files(spark, folder):
+    """Positive pairs with a text of both records, from the CSV files they are written to."""
+    out = shared_folder(spark, "pairs")
+    text = F.to_json(F.struct("nesting_depth", "num_nested_keys", "parent_frequency")).alias("schema")
+    pairs = _training(spark, folder).pairs.where("label = 1").select("dataset", "label", "path1", "path2")
+    results.write_pairs(pairs, _mined(spark, folder).summary.select("dataset", "path", text), out)
+    return _shown(results.read_pairs(spark, out), "path1", "path2")
+
+
 def global_schema(spark, folder):
     pairs = _evaluated(spark, folder).candidates.withColumnRenamed("dataset", "filename")
     fingerprint = F.lit("record")
@@ -428,7 +464,7 @@ QUERIES = (
     expansion_bounds, expansion_left, definition_cycles, definition_flags, dereference_status, matched_paths, ref_attribution, recursive_references, recursion_depth,
     dataset_status, processing_funnel, ground_truth, truth_round_trip, path_records,
     path_definition, candidate_pairs, pair_averages, cluster_pair_counts, cluster_scores,
-    corpus_average, evaluation_rows, global_schema, positive_pairs, labelled_pairs, pair_scores,
+    corpus_average, evaluation_rows, evaluation_clusters, clean_schemas, matched_files, pair_files, global_schema, positive_pairs, labelled_pairs, pair_scores,
     vector_topk, vector_bottomk, key_similarity, group_split, property_order, pair_packing,
     classifier_metrics,
 )

@@ -107,6 +107,8 @@ FROM lines l JOIN customers c ON l.dataset = c.dataset GROUP BY l.dataset, c_cus
     "validation": """SELECT c.dataset, CASE WHEN length IS NULL THEN 'exist' WHEN length = 0 THEN 'empty' WHEN k = 3 AND c_custkey % 5 = 4 THEN 'loaded'
 WHEN k = 3 AND c_custkey % 5 = 3 THEN 'definition' ELSE 'ok' END AS status FROM customers c LEFT JOIN listing USING (dataset)""",
     "summary": summary_of("profile", "kept"),
+    "record_texts": """SELECT dataset, path, '{"nesting_depth":' || nesting_depth || ',"num_nested_keys":' || num_nested_keys
+|| ',"parent_frequency":' || parent_frequency || '}' AS text FROM summary""",
     "unit": "SELECT vec_id, label, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings",
     "likeness": """SELECT a.label AS l1, b.label AS l2, a.vec_id AS v1, b.vec_id AS v2,
 round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (a.norm * b.norm), 9) AS s
@@ -206,6 +208,13 @@ round(avg(f1_score), 9) AS average_f1_score FROM scores""",
     "evaluation_rows": """SELECT dataset AS schema, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1_score, 9) AS f1_score,
 CAST(NULL AS DOUBLE) AS average_precision, CAST(NULL AS DOUBLE) AS average_recall, CAST(NULL AS DOUBLE) AS average_f1_score FROM scores
 UNION ALL SELECT NULL, NULL, NULL, NULL, round(avg(precision), 9), round(avg(recall), 9), round(avg(f1_score), 9) FROM scores""",
+    "evaluation_clusters": """SELECT dataset AS schema, 'actual' AS kind, ref AS cluster, path FROM truth WHERE dataset IN (SELECT dataset FROM candidates)
+UNION ALL SELECT dataset, 'predicted', cluster_id, path FROM clusters""",
+    "clean_schemas": "SELECT s.dataset, s.schema FROM schemas s JOIN validation v ON s.dataset = v.dataset WHERE v.status = 'ok'",
+    "matched_files": """SELECT m.dataset, CAST(json_extract(m.doc, '$.id') AS BIGINT) AS id, count(*) AS n
+FROM matched_items m JOIN customers c ON m.dataset = c.dataset WHERE c_custkey % 3 = 0 AND NOT (k = 3 AND c_custkey % 5 = 4) GROUP BY ALL""",
+    "pair_files": """SELECT t.dataset AS filename, CAST(1 AS INTEGER) AS label, p AS path1, q AS path2, a.text AS schema1, b.text AS schema2 FROM true_pairs t
+JOIN record_texts a ON a.dataset = t.dataset AND a.path = p JOIN record_texts b ON b.dataset = t.dataset AND b.path = q""",
     "positive_pairs": "SELECT dataset, p AS path1, q AS path2 FROM true_pairs",
     "vector_topk": """SELECT l1 AS label, v1 AS vec_id1, v2 AS vec_id2 FROM likeness WHERE l1 = l2
 QUALIFY row_number() OVER (PARTITION BY l1 ORDER BY s DESC, v1, v2) <= 1000""",

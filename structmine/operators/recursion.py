@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from structmine.functions.paths import DEFINITION_KEYWORDS, count_subpath, last_segment
+from structmine.functions.paths import DEFINITION_KEYWORDS, last_segment
 from structmine.operators.schema_graph import local_refs
+from structmine.session import broadcast_if_small, cut_lineage
 
 # The words dropped from a usage path.
 USAGE_KEYWORDS = (
@@ -50,15 +51,26 @@ def usage_paths(nodes: DataFrame, refs: DataFrame, strip_definition_names: bool
 def recursion_depth(usages: DataFrame, containers: DataFrame) -> DataFrame:
     """(dataset, ref, ref_path, max_depth): most repetitions of a usage path in one data path.
 
-    ``containers`` has distinct paths, so the join works on path shapes, not on documents.  A usage
-    meets only paths that hold its first element; where there are none, its depth is 0.
+    Repetitions may overlap; a usage path that is nowhere in its dataset has depth 0, an empty one fits once
+    more often than the longest path has elements.  ``containers`` has distinct paths.  Every path is opened
+    into its windows of the lengths that usages of its dataset have, so a usage meets its repetitions by
+    equality, whatever its elements, and only windows that are some usage go on.
     """
-    elements = containers.select("dataset", "path", F.explode(F.array_distinct("path")).alias("element"))
-    first = usages.where(F.size("ref_path") > 0).withColumn("element", F.element_at("ref_path", F.lit(1)))
-    met = elements.join(first, ["dataset", "element"]).drop("element")
-    # a usage path without elements has no first one to meet; a dataset has few of them
-    met = met.unionByName(containers.join(usages.where(F.size("ref_path") == 0), "dataset").select(*met.columns))
     key = ["dataset", "ref", "ref_path"]
-    depths = met.groupBy(*key).agg(F.max(count_subpath("path", "ref_path")).alias("max_depth"))
-    asked = usages.select(*key).distinct().join(containers.select("dataset").distinct(), "dataset", "left_semi")
-    return asked.join(depths, key, "left").select(*key, F.coalesce("max_depth", F.lit(0)).alias("max_depth"))
+    asked = cut_lineage(usages.select(*key).distinct())
+    wanted = asked.select("dataset", "ref_path").distinct()
+    lengths = wanted.groupBy("dataset").agg(F.collect_set(F.size("ref_path")).alias("lengths"))
+    n = F.size("path")
+    starts = lambda m: F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.struct(i.alias("i"), m.alias("m")))
+    windows = F.flatten(F.transform(F.filter("lengths", lambda m: m <= n), starts))
+    opened = (
+        containers.join(broadcast_if_small(lengths), "dataset")
+        .select("dataset", "path", F.explode(windows).alias("w"))
+        .select("dataset", "path", F.expr("slice(path, w.i, w.m)").alias("ref_path"))
+    )
+    met = opened.join(broadcast_if_small(wanted), ["dataset", "ref_path"])
+    repeated = met.groupBy("dataset", "ref_path", "path").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    depths = repeated.groupBy("dataset", "ref_path").agg(F.max("n").alias("max_depth"))
+    known = asked.join(containers.select("dataset").distinct(), "dataset", "left_semi")
+    found = known.join(depths, ["dataset", "ref_path"], "left")
+    return found.select(*key, F.coalesce("max_depth", F.lit(0)).alias("max_depth"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared(spark: SparkSession) -> str:
+    # the warehouse is shared by the whole cluster as well
+    return spark.conf.get("spark.checkpoint.dir", f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that every machine of the cluster sees, for files that are written and read back."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder shared by the cluster and go on from there."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        # the warehouse is shared by the whole cluster as well
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/_checkpoints"))
+        sc.setCheckpointDir(_shared(spark))
     return df.checkpoint()
 
 

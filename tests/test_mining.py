@@ -1,7 +1,10 @@
 """Hand-computed corpora through the chain."""
 
+import random
+
 import pytest
 from conftest import A, path, rows
+from pyspark.sql import functions as F
 
 from structmine.operators import classify, clusters, definition_walk, documents, matching, profile, recursion, schema_graph
 from structmine.plans import mining
@@ -227,3 +230,28 @@ def test_unreadable_pattern_costs_its_own_dataset(spark):
     status = lambda **options: {r["dataset"]: r["status"] for r in mining.mine(lines, schemas, **options).status.collect()}
     assert status(keep_pattern=True) == {"good": status()["good"], "bad": "error"}
     assert status()["bad"] != "error"
+
+
+def test_recursion_depth_equals_brute_force(spark):
+    dice = random.Random(5)
+    word = lambda most: [dice.choice(["a", "b", "*"]) for _ in range(dice.randrange(most + 1))]
+    containers = {(d, tuple(word(12))) for d in "xyz" for _ in range(60)} | {("x", ("a",) * 900)}
+    usages = {(d, f"r{i % 3}", tuple(word(4))) for d in "xyw" for i in range(40)} | {("x", "r", ("a",) * 899), ("y", "r", ("q",))}
+    got = recursion.recursion_depth(
+        spark.createDataFrame([(d, r, list(u)) for d, r, u in usages], "dataset string, ref string, ref_path array<string>"),
+        spark.createDataFrame([(d, list(p)) for d, p in containers], "dataset string, path array<string>"),
+    ).collect()
+    fits = lambda p, u: sum(p[i : i + len(u)] == u for i in range(len(p) - len(u) + 1))
+    want = {(d, r, u, max(fits(p, u) for e, p in containers if e == d)) for d, r, u in usages if d != "w"}
+    assert {(x["dataset"], x["ref"], tuple(x["ref_path"]), x["max_depth"]) for x in got} == want and len(got) == len(want)
+
+
+def test_clusters_survive_ids_that_collide(spark, monkeypatch):
+    poor = lambda salt, path: F.size(path).cast("long") if salt < 2 else F.xxhash64(F.lit(salt), F.col(path))
+    edges = spark.createDataFrame(
+        [("d", [a], [b]) for a, b in ("AB", "BC", "DE")] + [("d", ["F"], ["F"])], "dataset string, path1 array<string>, path2 array<string>"
+    )
+    want = rows(clusters.connected_components(edges), "cluster_id", "path")
+    assert want == {("A", "A"), ("A", "B"), ("A", "C"), ("D", "D"), ("D", "E")}
+    monkeypatch.setattr(clusters, "_node_id", poor)
+    assert rows(clusters.connected_components(edges), "cluster_id", "path") == want

@@ -11,6 +11,7 @@ CHECKED = (
     "path_profile", "path_summary", "document_match", "type_mix", "container_paths", "corpus_validation",
     "validation_funnel", "reference_paths", "definition_paths", "vector_topk", "vector_bottomk",
     "key_similarity", "group_split", "property_order", "pair_packing", "classifier_metrics",
+    "recursion_depth", "clusters", "evaluation_rows", "evaluation_clusters", "clean_schemas", "matched_files", "pair_files",
 )
 
 
