@@ -4,8 +4,8 @@ The pre-tokenizer of these files cuts texts into runs of letters, of digits and
 with at most one space before it, and white space; tokens never reach over its cuts.  Some of the cuts
 show from the bytes alone: before a space or line feed that follows a character other than white space,
 behind a line feed between two such characters, and between an ASCII letter and a mark such as a comma.
-Texts are cut there, each distinct part of a slice is looked up once, and each distinct part a worker
-meets is encoded once by the library.  A text that holds a special token's string is encoded as a whole.
+Texts are cut there, and the library encodes each distinct part of a slice once, many side by side.  A text
+that holds a special token's string is encoded as a whole.
 
 Parts are told apart by their bytes.
 """
@@ -19,11 +19,10 @@ import pyarrow as pa
 
 from structmine.llm import spans
 
-#: Distinct parts a worker keeps; beyond it those unused for longest are forgotten (results don't depend on it).
-MEMORY = 400_000
+#: Parts that are encoded as one text.
 TOGETHER = 256
-#: Bytes of texts whose parts are looked up at a time.
-AT_ONCE = 2 * spans.SLICE_BYTES
+#: Bytes of texts whose parts are told apart at a time.
+AT_ONCE = 4 * spans.SLICE_BYTES
 
 _BLANK = ~spans.NOT_SPACE
 _BLANK[[28, 29, 30, 31]] = True
@@ -36,9 +35,8 @@ _WIDE_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x2
 _WIDE_STARTS = sorted({c[:2] for c in _WIDE_BLANKS})
 
 
-def parts(found: spans.Texts) -> spans.Spans:
-    """Parts of texts that can be encoded apart, in order; an empty text has none."""
-    data = found.data
+def _blanks(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
     blank = _BLANK[data]
     if (data >= 0x80).any():
         raw = data.tobytes()
@@ -47,6 +45,13 @@ def parts(found: spans.Texts) -> spans.Spans:
             while at >= 0:
                 blank[at : at + len(character)] = True
                 at = raw.find(character, at + 1)
+    return blank
+
+
+def parts(found: spans.Texts) -> spans.Spans:
+    """Parts of texts that can be encoded apart, in order; an empty text has none."""
+    data = found.data
+    blank = _blanks(data)
     cut = np.zeros(len(data), bool)
     cut[1:] = ~blank[:-1] & ((data[1:] == 32) | (data[1:] == 10))
     cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
@@ -75,8 +80,6 @@ class Encoder:
 
         self._library = Tokenizer.from_file(path)
         self._special = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
         # a byte-level token is written with one character a byte; a special one stands in no part
         vocabulary = self._library.get_vocab(with_added_tokens=False)
         self._bytes = np.zeros(max(self._library.get_vocab(with_added_tokens=True).values(), default=0) + 1, np.int64)
@@ -90,11 +93,8 @@ class Encoder:
             return self._one_by_one(found, raw)
         cut = parts(found)
         which, _, distinct = spans.coded(found, cut.start, cut.end)
-        ids = self._learned(distinct.to_pylist())
-        ends = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=ends[1:])
-        values = np.frombuffer(b"".join(ids), "<u4")
-        taken = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(values)).take(pa.array(which))
+        lists, place = self._encoded(distinct)
+        taken = lists.take(pa.array(place[which]))
         at = np.searchsorted(cut.row, np.arange(found.rows + 1))
         return taken.flatten().to_numpy(), taken.offsets.to_numpy()[at]
 
@@ -103,63 +103,60 @@ class Encoder:
         ids = self._whole([raw[a:b].decode() for a, b in zip(at, at[1:])])
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0] + [len(x) for x in ids])
 
-    def _learned(self, keys: list[bytes]) -> list[bytes]:
-        """The ids of each part, from memory or the library."""
-        if len(self._known) > MEMORY // 2:
-            self._older, self._known = self._known, {}
-        found = list(map(self._known.get, keys))
-        missing = [i for i, x in enumerate(found) if x is None]
-        older = self._older.get
-        for i in missing:
-            found[i] = self._known[keys[i]] = older(keys[i])
-        missing = [i for i in missing if found[i] is None]
-        self._learn([keys[i] for i in missing])
-        for i in missing:
-            found[i] = self._known[keys[i]]
-        return found
-
-    def _learn(self, missing: list[bytes]) -> None:
-        spaced, joined, alone = [], [], []
-        for key in missing:
-            text = key.decode()
-            first = text[0] == " "
-            # white space inside a part, but for one space in front, needs the part alone
-            (alone if text.split() != [text[first:]] else spaced if first else joined).append((key, text))
-        for i in range(0, len(spaced), TOGETHER):
-            self._side_by_side(spaced[i : i + TOGETHER])
-        for i in range(0, len(joined), TOGETHER):
-            self._together(joined[i : i + TOGETHER])
-        self._known.update(zip((k for k, _ in alone), (x.tobytes() for x in self._whole([t for _, t in alone]))))
-
-    def _side_by_side(self, group: list[tuple[bytes, str]]) -> None:
-        """Encodes parts with a space in front as one text, where every part begins a token; the tokens' bytes tell which."""
-        ids = self._whole(["".join(t for _, t in group)])[0]
-        reached = np.cumsum(self._bytes[ids])
-        limits = np.cumsum([len(k) for k, _ in group])
+    def _encoded(self, distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Lists of the parts' ids in an order of their own, and each part's place there."""
+        own = spans.texts(distinct.view(pa.large_string()))
+        blanks = spans.per_row(_blanks(own.data), own.offsets)
+        # white space inside a part, but for one space in front, needs the part alone
+        spaced = (own.data[own.offsets[:-1]] == 32) & (blanks == 1) & (np.diff(own.offsets) > 1)
+        found, sure = self._side_by_side(distinct, np.flatnonzero(spaced))
+        spaced = np.zeros(len(distinct), bool)
+        spaced[sure] = True
+        joined, alone = np.flatnonzero((blanks == 0) & ~spaced), np.flatnonzero((blanks > 0) & ~spaced)
+        texts = lambda which: [x.decode() for x in distinct.take(pa.array(which)).to_pylist()]
+        words = texts(joined)
+        lists = [_lists([x for i in range(0, len(words), TOGETHER) for x in self._as_lines(words[i : i + TOGETHER])])]
+        lists.append(_lists(self._whole(texts(alone))))
+        place = np.empty(len(distinct), np.int64)
+        place[np.concatenate([sure, joined, alone])] = np.arange(len(distinct))
+        return pa.concat_arrays([found, *lists]), place
+
+    def _side_by_side(self, distinct: pa.Array, which: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Encodes parts with a space in front behind each other, where every part begins a token; the tokens' bytes
+        tell which.  Gives the lists of ids and the parts they belong to: those of texts whose tokens end with the parts."""
+        own = spans.texts(distinct.take(pa.array(which)).view(pa.large_string()))
+        raw, limits = own.data.tobytes(), own.offsets[1:]
+        cuts = np.unique(np.append(own.offsets[:-1:TOGETHER], len(raw)))
+        ids = self._whole([raw[a:b].decode() for a, b in zip(cuts.tolist(), cuts[1:].tolist())])
+        values = np.concatenate([np.zeros(0, np.uint32), *ids])
+        reached = np.cumsum(self._bytes[values])
+        text_ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+        if len(which) == 0 or (reached[text_ends - 1] != cuts[1:]).any():
+            return _lists([]), np.zeros(0, np.int64)
         last = np.searchsorted(reached, limits)
-        if not len(reached) or reached[-1] != limits[-1] or (reached[last] != limits).any():
-            self._together(group)
-            return
-        raw, ends = ids.tobytes(), (4 * (last + 1)).tolist()
-        self._known.update(zip((k for k, _ in group), (raw[a:b] for a, b in zip([0, *ends], ends))))
+        missed = np.bincount(np.arange(len(which)) // TOGETHER, weights=reached[last] != limits)
+        sure = np.repeat(missed == 0, TOGETHER)[: len(which)]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, last + 1)), pa.array(values))
+        return lists.filter(pa.array(sure)), which[sure]
 
-    def _together(self, group: list[tuple[bytes, str]]) -> None:
+    def _as_lines(self, group: list[str]) -> list[np.ndarray]:
         """Encodes parts as lines of one text; a line feed is a token of its own there."""
-        ids = self._whole(["\n".join(t for _, t in group)])[0]
+        ids = self._whole(["\n".join(group)])[0]
         breaks = np.flatnonzero(ids == self._break[0]) if len(self._break) == 1 else []
-        if len(breaks) == len(group) - 1:
-            raw = ids.tobytes()
-            limits = zip([0, *(4 * breaks + 4).tolist()], [*(4 * breaks).tolist(), len(raw)])
-            found = [raw[a:b] for a, b in limits]
-        else:
-            found = [x.tobytes() for x in self._whole([t for _, t in group])]
-        self._known.update(zip((k for k, _ in group), found))
+        if len(breaks) != len(group) - 1:
+            return self._whole(group)
+        return [ids[a:b] for a, b in zip([0, *(breaks + 1).tolist()], [*breaks.tolist(), len(ids)])]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self._library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, "<u4") for e in found]
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int64)
+    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids])))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
