@@ -6,6 +6,7 @@ import pytest
 from conftest import A, path, rows
 from pyspark.sql import functions as F
 
+from structmine import session
 from structmine.operators import classify, clusters, definition_walk, documents, matching, profile, recursion, schema_graph
 from structmine.plans import mining
 
@@ -255,3 +256,19 @@ def test_clusters_survive_ids_that_collide(spark, monkeypatch):
     assert want == {("A", "A"), ("A", "B"), ("A", "C"), ("D", "D"), ("D", "E")}
     monkeypatch.setattr(clusters, "_node_id", poor)
     assert rows(clusters.connected_components(edges), "cluster_id", "path") == want
+
+
+def test_schemas_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
+    schema = '{"properties":{"a":{"$ref":"#/$defs/A"}},"$defs":{"A":{"type":"object","properties":{"x":{}}}}}'
+    together = spark.createDataFrame([(f"d{i}", schema) for i in range(40)], "dataset string, schema string").coalesce(1)
+    monkeypatch.setattr(session, "SPREAD_CHARS", 4 * len(schema))
+    dealt = session.spread(together, "schema")
+    assert dealt.rdd.getNumPartitions() == 11 and rows(dealt, "dataset") == {(f"d{i}",) for i in range(40)}
+    assert session.spread(together.limit(0), "schema").count() == 0
+
+    seen = []
+    made = schema_graph.schema_nodes
+    monkeypatch.setattr(schema_graph, "schema_nodes", lambda given: seen.append(given.rdd.getNumPartitions()) or made(given))
+    lines = spark.createDataFrame([(f"d{i}", '{"a":{"x":1}}') for i in range(40)], "dataset string, line string")
+    assert mining.mine(lines, together).status.count() == 40
+    assert seen == [11]
