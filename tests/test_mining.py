@@ -93,6 +93,26 @@ def test_evaluation(orders):
     assert rows(result.average, "average_precision") == {(1.0,)}
 
 
+def test_pairs_of_an_evaluation_need_no_clusters(orders, monkeypatch):
+    monkeypatch.setattr(clusters, "connected_components", lambda *a: pytest.fail("clusters were not asked for"))
+    assert mining.evaluate(orders[2]).candidates.count() == 6
+
+
+def test_lines_of_a_dataset_are_counted_together(spark):
+    lines = [(f"d{i % 50}", '{"a": {"b": 1}}') for i in range(2000)]
+    table = spark.createDataFrame(lines, "dataset string, line string").repartition(8)
+    walk = documents.path_counts(table)._jdf.queryExecution().analyzed().toString()
+    assert "RebalancePartitions" in walk
+    met = {(r["dataset"], r["key"]): r["n"] for r in documents.path_counts(table).collect()}
+    assert met == {(f"d{i}", k): 40 for i in range(50) for k in ("$", "a", "b")}
+
+
+def test_only_telling_members_make_facts(spark):
+    schema = '{"$defs": {"A": {"type": "object", "title": "t", "properties": {"x": {"title": "u"}}}}}'
+    nodes = schema_graph.schema_nodes(text_table(spark, "schema", [("c", schema)]))
+    assert rows(schema_graph._object_facts(nodes), "ptr", "says_object") == {("$defs.A", True)}
+
+
 def test_training_and_classifier(orders, tmp_path):
     mined = orders[2]
     data = mining.training_data(mined)
