@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structmine.operators import schema_graph
-from structmine.session import cut_lineage
+from structmine.session import stored
 
 #: Beyond this a count of walks is no longer exact and is reported as null.
 EXACT = float(1 << 53)
@@ -20,7 +20,7 @@ def _without(edges: DataFrame, end: str, other: str) -> DataFrame:
     left = edges.count()
     while left:
         nodes = edges.select("dataset", F.col(other).alias(end)).distinct()
-        edges = cut_lineage(edges.join(nodes, ["dataset", end], "left_semi"))
+        edges = stored(edges.join(nodes, ["dataset", end], "left_semi"))
         now = edges.count()
         if now == left:
             break
@@ -43,7 +43,7 @@ def _spread(table: DataFrame, edges: DataFrame) -> DataFrame:
             .agg(F.min("colour").alias("colour"))
         )
         before = table.select("dataset", "node", F.col("colour").alias("before"))
-        moved = cut_lineage(best.join(before, ["dataset", "node"]))
+        moved = stored(best.join(before, ["dataset", "node"]))
         table = moved.drop("before")
         if moved.where("colour < before").isEmpty():
             return table
@@ -56,7 +56,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     colour, are its component; they leave, and what is left and may still be on a cycle is coloured again.
     ``edges`` has ``dataset``, ``source`` and ``target``; repeated edges count once.
     """
-    rest = cut_lineage(edges.select("dataset", "source", "target").where("target is not null").distinct())
+    rest = stored(edges.select("dataset", "source", "target").where("target is not null").distinct())
     found = None
     while True:
         rest = _without(_without(rest, "target", "source"), "source", "target")
@@ -71,10 +71,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
             .where("a = b")
             .select("dataset", F.col("target").alias("source"), F.col("source").alias("target"))
         )
-        inside = cut_lineage(inside)
-        members = frontier = cut_lineage(colours.where("node = colour"))
+        inside = stored(inside)
+        members = frontier = stored(colours.where("node = colour"))
         while not frontier.isEmpty():
-            frontier = cut_lineage(
+            frontier = stored(
                 frontier.withColumnRenamed("node", "source")
                 .join(inside, ["dataset", "source"])
                 .select("dataset", F.col("target").alias("node"), "colour")
@@ -82,7 +82,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 .join(members, ["dataset", "node"], "left_anti")
             )
             members = members.unionByName(frontier)
-        members = cut_lineage(members)
+        members = stored(members)
         size = members.groupBy("dataset", "colour").agg(F.count(F.lit(1)).alias("size"))
         loops = rest.where("source = target").select("dataset", F.col("source").alias("node"), F.lit(True).alias("loop"))
         cyclic = members.join(size, ["dataset", "colour"]).join(loops, ["dataset", "node"], "left").where("size > 1 or loop")
@@ -90,10 +90,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = cyclic if found is None else found.unionByName(cyclic)
         for end in ("source", "target"):
             rest = rest.join(members.select("dataset", F.col("node").alias(end)), ["dataset", end], "left_anti")
-        rest = cut_lineage(rest)
+        rest = stored(rest)
     if found is None:
         return rest.select("dataset", F.col("source").alias("node"), F.col("target").alias("component"))
-    return cut_lineage(found)
+    return stored(found)
 
 
 def definition_cycles(references: DataFrame) -> DataFrame:
@@ -110,11 +110,11 @@ def expansion_bounds(references: DataFrame, limit: int = schema_graph.MAX_SUBSTI
     A recurrence over (dataset, definition) carries the number of open walks, so graphs whose walks
     multiply cost no more than others.  Different walks may give the same path.  Counts above 2 to the 53 are null.
     """
-    steps = cut_lineage(schema_graph.definition_steps(references))
+    steps = stored(schema_graph.definition_steps(references))
     count = F.count(F.lit(1)).cast("double")
-    moves = cut_lineage(steps.groupBy("dataset", F.col("ref").alias("at"), "target").agg(count.alias("ways")))
+    moves = stored(steps.groupBy("dataset", F.col("ref").alias("at"), "target").agg(count.alias("ways")))
     known = moves.select("dataset", "at").distinct()
-    state = cut_lineage(steps.groupBy("dataset", "target").agg(count.alias("n")))
+    state = stored(steps.groupBy("dataset", "target").agg(count.alias("n")))
     ended = state.where("target is null").select("dataset", F.lit("expected").alias("how"), "n")
     for turn in range(limit + 1):
         state = state.where("target is not null").withColumnRenamed("target", "at")
@@ -126,7 +126,7 @@ def expansion_bounds(references: DataFrame, limit: int = schema_graph.MAX_SUBSTI
             break
         if state.isEmpty():
             break
-        state = cut_lineage(
+        state = stored(
             state.join(moves, ["dataset", "at"]).groupBy("dataset", "target").agg(F.sum(F.col("n") * F.col("ways")).alias("n"))
         )
         ended = ended.unionByName(state.where("target is null").select("dataset", F.lit("expected").alias("how"), "n"))
@@ -148,8 +148,10 @@ def definition_flags(nodes: DataFrame) -> DataFrame:
     answer on the way they are no objects.
     """
     named = schema_graph.named_definitions(nodes)
-    objects = schema_graph.object_like_definitions(nodes).withColumn("object_like", F.lit(True))
-    edges = cut_lineage(schema_graph.object_edges(nodes)).select("dataset", F.col("ptr").alias("source"), F.col("child").alias("target"))
+    facts = stored(schema_graph.object_facts(nodes))
+    stated = stored(schema_graph.object_edges(nodes, facts))
+    objects = schema_graph.object_like_definitions(nodes, facts, stated).withColumn("object_like", F.lit(True))
+    edges = stated.select("dataset", F.col("ptr").alias("source"), F.col("child").alias("target"))
     endless = reaching_cycles(edges).select("dataset", F.col("source").alias("ptr"), F.lit(True).alias("endless"))
     return (
         named.join(objects, ["dataset", "name"], "left")

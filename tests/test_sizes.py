@@ -1,7 +1,12 @@
 """Tasks over tables of names and paths stay small however large the tables are."""
 
+import json
+
+from conftest import rows
+
 from pyspark.sql import functions as F
 from structmine import session
+from structmine.operators import definition_graph, schema_graph
 
 
 def test_rows_of_a_task_do_not_grow_with_a_shuffled_table(spark):
@@ -37,3 +42,13 @@ def test_stored_tables_come_back_as_they_were(spark):
     assert again.dtypes == made.dtypes
     assert sorted(map(str, again.collect())) == sorted(map(str, made.collect()))
     assert session.stored(made.limit(0)).isEmpty()
+
+
+def test_facts_of_schema_objects_are_gathered_once_for_the_flags(spark, monkeypatch):
+    seen, gather = [], schema_graph.object_facts
+    monkeypatch.setattr(schema_graph, "object_facts", lambda nodes: seen.append(1) or gather(nodes))
+    schema = json.dumps({"$defs": {"A": {"type": "object", "properties": {"x": {}}}, "B": {"$ref": "#/$defs/A"}, "C": {"$ref": "#/$defs/C"}}})
+    nodes = schema_graph.schema_nodes(spark.createDataFrame([("d", schema)], "dataset string, schema string"))
+    found = rows(definition_graph.definition_flags(nodes), "name", "object_like", "cyclic")
+    assert found == {("A", True, False), ("B", True, False), ("C", False, True)}
+    assert seen == [1]
