@@ -2,11 +2,13 @@
 
 import json
 
+import pyarrow as pa
 from conftest import rows
 
 from pyspark.sql import functions as F
 from structmine import session
-from structmine.operators import definition_graph, schema_graph
+from structmine.functions import json_walk
+from structmine.operators import definition_graph, documents, schema_graph
 
 
 def test_rows_of_a_task_do_not_grow_with_a_shuffled_table(spark):
@@ -52,3 +54,15 @@ def test_facts_of_schema_objects_are_gathered_once_for_the_flags(spark, monkeypa
     found = rows(definition_graph.definition_flags(nodes), "name", "object_like", "cyclic")
     assert found == {("A", True, False), ("B", True, False), ("C", False, True)}
     assert seen == [1]
+
+
+def test_only_containers_leave_the_walk_for_them(spark):
+    lines = [
+        '{"$":{"a":[1,[],{"b":{}}]},"n":1,"<ARRAY_ITEM>":{}}', '[{"c":[]},7,[[{"d":null}]]]', '{"n":{"x":"y"}}', '{"n":2}', '[1,2]',
+        "{", "5", '{"\\ud800":{}}', None,
+    ]
+    found = list(json_walk.find_containers([pa.RecordBatch.from_pydict({"dataset": ["d"] * 9, "line": pa.array(lines, pa.string())})]))
+    assert sum(b.num_rows for b in found) == 10
+    table = spark.createDataFrame([("d", x) for x in lines] + [(None, '{"z":[]}')], "dataset string, line string")
+    want = {"$", "$.a", "$.a.*", "$.a.*.b", "*", "*.c", "*.*", "*.*.*", "n", "�"}
+    assert rows(documents.container_paths(table), "dataset", "path") == {("d", p) for p in want} | {(None, "z")}
