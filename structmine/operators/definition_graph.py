@@ -148,7 +148,7 @@ def definition_flags(nodes: DataFrame) -> DataFrame:
     answer on the way they are no objects.
     """
     named = schema_graph.named_definitions(nodes)
-    facts = stored(schema_graph.object_facts(nodes))
+    facts = stored(schema_graph._object_facts(nodes))
     stated = stored(schema_graph.object_edges(nodes, facts))
     objects = schema_graph.object_like_definitions(nodes, facts, stated).withColumn("object_like", F.lit(True))
     edges = stated.select("dataset", F.col("ptr").alias("source"), F.col("child").alias("target"))

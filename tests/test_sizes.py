@@ -47,8 +47,8 @@ def test_stored_tables_come_back_as_they_were(spark):
 
 
 def test_facts_of_schema_objects_are_gathered_once_for_the_flags(spark, monkeypatch):
-    seen, gather = [], schema_graph.object_facts
-    monkeypatch.setattr(schema_graph, "object_facts", lambda nodes: seen.append(1) or gather(nodes))
+    seen, gather = [], schema_graph._object_facts
+    monkeypatch.setattr(schema_graph, "_object_facts", lambda nodes: seen.append(1) or gather(nodes))
     schema = json.dumps({"$defs": {"A": {"type": "object", "properties": {"x": {}}}, "B": {"$ref": "#/$defs/A"}, "C": {"$ref": "#/$defs/C"}}})
     nodes = schema_graph.schema_nodes(spark.createDataFrame([("d", schema)], "dataset string, schema string"))
     found = rows(definition_graph.definition_flags(nodes), "name", "object_like", "cyclic")
