@@ -21,8 +21,8 @@ from structmine.llm import spans
 
 #: Parts that are encoded as one text.
 TOGETHER = 256
-#: Bytes of texts whose parts are told apart at a time.
-AT_ONCE = 4 * spans.SLICE_BYTES
+#: Bytes of texts whose parts are told apart at a time: the more, the fewer distinct parts a byte of text has.
+AT_ONCE = 8 * spans.SLICE_BYTES
 
 _BLANK = ~spans.NOT_SPACE
 _BLANK[[28, 29, 30, 31]] = True
@@ -40,7 +40,7 @@ def _blanks(data: np.ndarray) -> np.ndarray:
     blank = _BLANK[data]
     if (data >= 0x80).any():
         raw = data.tobytes()
-        for character in _WIDE_BLANKS if any(x in raw for x in _WIDE_STARTS) else ():
+        for character in _WIDE_BLANKS if any(x[:1] in raw and x in raw for x in _WIDE_STARTS) else ():
             at = raw.find(character)
             while at >= 0:
                 blank[at : at + len(character)] = True
@@ -91,11 +91,15 @@ class Encoder:
         raw = found.data.tobytes()
         if any(s in raw for s in self._special):
             return self._one_by_one(found, raw)
-        cut = parts(found)
-        which, _, distinct = spans.coded(found, cut.start, cut.end)
-        lists, place = self._encoded(distinct)
-        taken = lists.take(pa.array(place[which]))
-        at = np.searchsorted(cut.row, np.arange(found.rows + 1))
+        start = parts(found).start
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(found.rows + 1, np.int64)
+        # one part ends where the next begins, so their places are an Arrow column's offsets
+        ends = np.append(start, len(raw))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        lists, place = self._encoded(coded.dictionary)
+        taken = lists.take(pa.array(place[coded.indices.to_numpy(zero_copy_only=False)]))
+        at = np.searchsorted(start, found.offsets)
         return taken.flatten().to_numpy(), taken.offsets.to_numpy()[at]
 
     def _one_by_one(self, found: spans.Texts, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +121,7 @@ class Encoder:
         words = texts(joined)
         lists = [_lists([x for i in range(0, len(words), TOGETHER) for x in self._as_lines(words[i : i + TOGETHER])])]
         lists.append(_lists(self._whole(texts(alone))))
-        place = np.empty(len(distinct), np.int64)
+        place = np.empty(len(distinct), np.int32)
         place[np.concatenate([sure, joined, alone])] = np.arange(len(distinct))
         return pa.concat_arrays([found, *lists]), place
 

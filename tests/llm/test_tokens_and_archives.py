@@ -36,6 +36,24 @@ def test_parts_encode_as_the_whole():
         assert [ids[x:y].tolist() for x, y in zip(ends, ends[1:])] == library_ids(texts[a : a + 200])
 
 
+def test_parts_of_a_batch_are_told_apart_together():
+    """A word of both texts is encoded once, though they are 6 MB; parts leave no byte out."""
+    texts = pa.array([" ".join(f"word{chr(97 + i % 26)}" for i in range(600_000))[: 3 << 20]] * 2)
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    slices = list(spans.slices([batch], "text", token_ids.AT_ONCE))
+    assert [s.num_rows for s in slices] == [2]
+    found = spans.texts(slices[0].column("text"))
+    cut = token_ids.parts(found)
+    assert cut.start[0] == 0 and cut.end[-1] == len(found.data) and (cut.start[1:] == cut.end[:-1]).all()
+    coder, seen = token_ids.Encoder(TOKENIZER), []
+    whole = coder._whole
+    coder._whole = lambda given: seen.extend(given) or whole(given)
+    ids, ends = coder.encode(found)
+    assert sum(map(len, seen)) < 1000
+    assert ids[: ends[1]].tolist() == ids[ends[1] :].tolist()
+    assert [x.tolist() for x in coder.encode(spans.texts(pa.array(["", None], pa.string())))] == [[], [0, 0, 0]]
+
+
 def test_token_store(documents, spark, tmp_path):
     rows = [(i * 7 % 101, f"text {i} " * (i % 13)) for i in range(101)] + [(200 + (d or 9), t) for d, t in EDGES if d != 4] + [(300, MORSE), (301, TWIN)]
     token_store.write(documents(rows), str(tmp_path / "t"), TOKENIZER, 2, shard_bytes=20_000)
