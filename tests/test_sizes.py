@@ -66,3 +66,41 @@ def test_only_containers_leave_the_walk_for_them(spark):
     table = spark.createDataFrame([("d", x) for x in lines] + [(None, '{"z":[]}')], "dataset string, line string")
     want = {"$", "$.a", "$.a.*", "$.a.*.b", "*", "*.c", "*.*", "*.*.*", "n", "�"}
     assert rows(documents.container_paths(table), "dataset", "path") == {("d", p) for p in want} | {(None, "z")}
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_line_is_parsed_once_for_its_keys(spark):
+    text = F.concat(F.lit('{"a":'), F.col("id").cast("string"), F.lit("}"))
+    lines = spark.range(3).select(F.lit("d").alias("dataset"), F.when(F.col("id") < 2, text).otherwise("[7]").alias("line"))
+    schemas = spark.createDataFrame([("d", '{"properties":{"a":{}}}')], "dataset string, schema string")
+    found = documents.with_declared_keys(lines, schemas)
+    assert _optimized(found).count("jsonObjectKeys(line") == 1
+    assert rows(found, "line", "keys") == {('{"a":0}', None), ('{"a":1}', None), ("[7]", "a")}
+    other = schemas.withColumn("schema", F.lit('{"properties":{"b":{}}}'))
+    assert rows(documents.with_declared_keys(lines, other), "line", "keys") == {("[7]", "b")}
+    free = schemas.withColumn("schema", F.lit("{}"))
+    assert documents.with_declared_keys(lines, free).count() == 3
+
+
+def test_pointers_are_folded_once_and_words_looked_at_before_they_are_cut(spark):
+    schema = json.dumps(
+        {
+            "properties": {"x": {"$ref": "#/$defs/A"}, "y": {"if": [{"$ref": "#/$defs/A"}], "properties": [{"$ref": "#/$defs/L"}]}},
+            "oneOf": [{"type": "object"}, {"anyOf": {"k": {}}}, 5],
+            "$defs": {"A": {"allOf": [{"allOf": [{}]}]}, "L": {"anyOf": {"z": {"$ref": "#/$defs/A"}}}},
+        }
+    )
+    nodes = schema_graph.schema_nodes(spark.createDataFrame([("d", schema), (None, schema)], "dataset string, schema string"))
+    found = schema_graph.reference_paths(nodes)
+    assert _optimized(found).count("aggregate(") == 1
+    paths = {("#/$defs/A", "$.x"), ("#/$defs/A", "$.y"), ("#/$defs/A", "$.$defs.L.anyOf.z"), ("#/$defs/A", "$.$defs.L.z")}
+    got = {(d, r, p) for d, r, p in rows(found, "dataset", "ref", "path")}
+    assert {(r, p) for d, r, p in got if d == "d"} == {(r, p) for d, r, p in got if d is None} <= paths
+    assert ("d", "#/$defs/A", "$.x") in got and not any(r == "#/$defs/L" for _, r, _ in got)
+    edges = schema_graph.object_edges(nodes)
+    assert not any("slice(" in line for line in _optimized(edges).splitlines() if line.strip(" :+-").startswith("Filter"))
+    by_branch = {(p, c) for d, p, c in rows(edges, "dataset", "ptr", "child") if d == "d" and not c.startswith("$defs.A") or c == "$defs.A.allOf.0.allOf.0"}
+    assert {("", "oneOf.0"), ("", "oneOf.1"), ("oneOf.1", "oneOf.1.anyOf"), ("$defs.L", "$defs.L.anyOf"), ("$defs.A.allOf.0", "$defs.A.allOf.0.allOf.0")} <= by_branch
