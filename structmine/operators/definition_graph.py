@@ -110,11 +110,11 @@ def expansion_bounds(references: DataFrame, limit: int = schema_graph.MAX_SUBSTI
     A recurrence over (dataset, definition) carries the number of open walks, so graphs whose walks
     multiply cost no more than others.  Different walks may give the same path.  Counts above 2 to the 53 are null.
     """
-    steps = stored(schema_graph.definition_steps(references))
+    steps = stored(schema_graph.definition_steps(references), "dataset")
     count = F.count(F.lit(1)).cast("double")
-    moves = stored(steps.groupBy("dataset", F.col("ref").alias("at"), "target").agg(count.alias("ways")))
+    moves = stored(steps.groupBy("dataset", F.col("ref").alias("at"), "target").agg(count.alias("ways")), "dataset", like=steps)
     known = moves.select("dataset", "at").distinct()
-    state = stored(steps.groupBy("dataset", "target").agg(count.alias("n")))
+    state = stored(steps.groupBy("dataset", "target").agg(count.alias("n")), "dataset", like=steps)
     ended = state.where("target is null").select("dataset", F.lit("expected").alias("how"), "n")
     for turn in range(limit + 1):
         state = state.where("target is not null").withColumnRenamed("target", "at")
@@ -127,7 +127,9 @@ def expansion_bounds(references: DataFrame, limit: int = schema_graph.MAX_SUBSTI
         if state.isEmpty():
             break
         state = stored(
-            state.join(moves, ["dataset", "at"]).groupBy("dataset", "target").agg(F.sum(F.col("n") * F.col("ways")).alias("n"))
+            state.join(moves, ["dataset", "at"]).groupBy("dataset", "target").agg(F.sum(F.col("n") * F.col("ways")).alias("n")),
+            "dataset",
+            like=steps,
         )
         ended = ended.unionByName(state.where("target is null").select("dataset", F.lit("expected").alias("how"), "n"))
     total = lambda how: F.coalesce(F.sum(F.when(F.col("how") == how, F.col("n"))), F.lit(0.0))
@@ -148,8 +150,8 @@ def definition_flags(nodes: DataFrame) -> DataFrame:
     answer on the way they are no objects.
     """
     named = schema_graph.named_definitions(nodes)
-    facts = stored(schema_graph._object_facts(nodes))
-    stated = stored(schema_graph.object_edges(nodes, facts))
+    facts = stored(schema_graph._object_facts(nodes), "dataset", like=nodes)
+    stated = stored(schema_graph.object_edges(nodes, facts), "dataset", like=nodes)
     objects = schema_graph.object_like_definitions(nodes, facts, stated).withColumn("object_like", F.lit(True))
     edges = stated.select("dataset", F.col("ptr").alias("source"), F.col("child").alias("target"))
     endless = reaching_cycles(edges).select("dataset", F.col("source").alias("ptr"), F.lit(True).alias("endless"))
