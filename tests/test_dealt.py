@@ -32,6 +32,15 @@ def test_tables_dealt_alike_meet_without_a_shuffle(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("table_")]
 
 
+def test_tables_dealt_alike_are_one_group_after_a_union(spark):
+    made = spark.range(400).select(F.concat(F.lit("d"), F.col("id") % 50).alias("dataset"), (F.col("id") % 3).alias("k"), F.col("id").alias("n"))
+    parts = [session.stored(made.withColumn("n", F.col("n") + i), "dataset", like=4) for i in range(3)]
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for table in (together, together.repartition(4, "dataset")):
+        assert table.groupBy("dataset", "k").agg(F.min("n").alias("n")).count() == 150
+        assert table.select("dataset", "k").distinct().count() == 150
+
+
 def test_tables_about_schemas_stay_where_their_schema_is(spark):
     schema = '{"properties":{"a":{"$ref":"#/$defs/A"}},"$defs":{"A":{"type":"object","properties":{"x":{"$ref":"#/$defs/B"}}},"B":{"type":"object","properties":{"y":{}}}}}'
     schemas = spark.createDataFrame([(f"d{i}", schema) for i in range(9)], "dataset string, schema string")
